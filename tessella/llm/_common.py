@@ -82,13 +82,15 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         seen = state
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # as a table of its own, else its partitioning would keep AQE from splitting a hub's edges
+        low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # in a star each node has one smaller neighbour: what has more still needs the small step
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi != lo").distinct()
         new = scratch.cut(small)
         scratch.drop(cur)
+        scratch.drop(low)
         cur = new
     roots = cur.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component"))
     return cur.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(roots)

@@ -195,9 +195,10 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     all_rows = scratch.cut(_sketched(source, n, bands, rows))
     sets = all_rows.where("s is not null and id is not null")
-    reps = sets.groupBy("s").agg(F.min("id").alias("rep"))
-    # one row per class carries the bands
-    classes = scratch.cut(sets.join(reps, "s").select("id", "s", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")))
+    # of classes of one row there is nothing to look up; a hot class's rows can be split where they meet its one row
+    reps = scratch.cut(sets.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    of = sets.join(reps, "s", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "bands")
+    classes = scratch.cut(of.withColumn("bands", F.when(F.col("id") == F.col("rep"), F.col("bands"))))
     heads = classes.where("bands is not null").select("id", "n", F.posexplode("bands").alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("bucket")).distinct()
     first = heads.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
     members = scratch.cut(heads.join(first, "bucket").select("bucket", "id", "n", "lead"))
@@ -219,10 +220,16 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     dealt = blocks.join(texts, "id").select("bucket", "i", "o", "id", "comp", "t", (F.col("role") == 1).alias("inside"), (F.col("role") == 2).alias("outside"))
     late = scratch.cut(dealt.groupBy("bucket", "i", "o").applyInPandas(lambda g: _block_links(g, n, threshold), "a long, b long"))
 
-    # members of a class follow its representative; rows that share a key tie their classes together
-    found = classes.where("id != rep").select("id", "rep")
-    named = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late).union(found), scratch)
-    out = all_rows.select("id", "n").join(named, "id", "left")
+    # rows that share a key but not a text tie their classes together
+    same = classes.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b != top").select("id", "b")
+    same = classes.join(same, "id").select(F.col("rep").alias("a"), "b")
+    named = scratch.cut(connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late).union(same), scratch))
+    # members of a class follow its representative
+    followed = classes.select("id", "n", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    alone = all_rows.where("s is null or id is null").select("id", "n", F.lit(None).cast("long").alias("component"))
+    # a row without words follows a row of its key that has some
+    alone = alone.join(followed.groupBy("id").agg(F.min("component").alias("c")), "id", "left").select("id", "n", F.col("c").alias("component"))
+    out = followed.union(alone)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

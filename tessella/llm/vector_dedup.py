@@ -133,14 +133,20 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     links = scratch.cut(joined)
     scratch.drop(placed)
 
-    totals = links.groupBy("id").agg(F.sum("links").alias("links"))
+    totals = links.where("links > 0").groupBy("id").agg(F.sum("links").alias("links"))
     per_class = classes.join(totals, "id", "left").select("label", "v", F.col("id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"))
-    # NULL-safe: only valid rows have a class
-    members = rows.where("ok").join(per_class, ["label", "v"]).select("id", "rep", "links")
-    ties = links.select(F.col("id").alias("a"), F.col("root").alias("b")).union(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    comps = connected_components(ties, scratch)
+    # tables of their own: the rows of a hot class can be split where they meet them
+    per_class = scratch.cut(per_class)
+    members = scratch.cut(rows.where("ok").join(per_class, ["label", "v"]).select("id", "rep", "links"))
+    # rows that share a key tie their classes together
+    same = members.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b != top").select("id", "b")
+    same = members.join(same, "id").select(F.col("rep").alias("a"), "b")
+    comps = scratch.cut(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")).union(same), scratch))
+    followed = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("id", "links", F.coalesce("component", "rep").alias("component"))
+    # a row that links with nothing follows a row of its key that links
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("links"))
-    out = members.select("id", "links").union(alone).join(comps, "id", "left")
+    alone = alone.join(followed.groupBy("id").agg(F.min("component").alias("component")), "id", "left")
+    out = followed.union(alone)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.col("links").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
