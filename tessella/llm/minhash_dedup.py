@@ -205,7 +205,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     fits = F.col("n") * 100 >= F.col("lead.n") * threshold
     fits &= F.col("lead.n") * 100 >= F.col("n") * threshold
     pairs = members.where((F.col("id") != F.col("lead.id")) & fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    texts = source.join(members.select("id").distinct(), "id", "left_semi")
+    # tables of their own, else the distinct and the semi-join would fix the partitioning of a hot lead's pairs
+    pairs = scratch.cut(pairs)
+    texts = scratch.cut(source.join(members.select("id").distinct(), "id", "left_semi"))
     links = scratch.cut(_confirmed(pairs, texts, n, threshold))
 
     comps = scratch.cut(connected_components(links, scratch))
