@@ -31,7 +31,7 @@ def load(spark: SparkSession, path: str, name: str, in_memory: bool = False) ->
 def breakdown(spark: SparkSession, path: str) -> DataFrame:
     """(component, bytes) of a saved corpus."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    component = F.element_at(F.split(F.element_at(F.split("path", "\\Q" + path.split(":")[-1].rstrip("/") + "/\\E"), -1), "/"), 1)
+    component = F.element_at(F.split(F.element_at(F.split("path", "\\Q/" + path.rstrip("/").rsplit("/", 1)[-1] + "/\\E"), -1), "/"), 1)
     return files.groupBy(component.alias("component")).agg(F.sum("length").alias("bytes"))
 
 
