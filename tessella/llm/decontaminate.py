@@ -182,20 +182,22 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "span
     and keeps every document, ``documents`` drops the documents that have any.
     Rows without hits stay byte for byte as they are. Columns stay as they are."""
     names = docs.columns
-    found = find_contamination(docs, benchmark, text=text, **kw)
+    own = {c: f"_own_{c}" for c in ("n_words", "spans", "items") if c in names}  # the caller's columns of our names
+    inner = [own.get(c, c) for c in names]
+    found = find_contamination(docs.withColumnsRenamed(own), benchmark, text=text, **kw)
     if mode == "documents":
-        return found.where(F.size("spans") == 0).select(*[f"`{c}`" for c in names])
+        return found.where(F.size("spans") == 0).select(*[F.col(f"`{i}`").alias(c) for i, c in zip(inner, names)])
     if mode != "spans":
         raise ValueError(f"mode must be spans or documents, not {mode!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, s = b.column(names.index(text)), b.schema.get_field_index("spans")
-            if any(len(x) for x in b.column(s)):
-                t = pa.array([_cut(x.as_py(), y.as_py()) if len(y) else x.as_py() for x, y in zip(t, b.column(s))], t.type)
+            t, spans = b.column(names.index(text)), b.column(len(names))
+            if any(len(x) for x in spans):
+                t = pa.array([_cut(x.as_py(), y.as_py()) if len(y) else x.as_py() for x, y in zip(t, spans)], t.type)
             yield pa.RecordBatch.from_arrays([t if c == text else b.column(k) for k, c in enumerate(names)], names=names)
 
-    kept = found.select(*[f"`{c}`" for c in names], "spans")
+    kept = found.select(*[F.col(f"`{i}`") for i in inner], "spans")
     return kept.mapInArrow(run, docs.schema)
 
 

@@ -1,0 +1,271 @@
+"""Decontamination, token counts, secrets, pages, surrogates and mixing."""
+
+import hashlib
+import html
+import math
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessella.llm import decontaminate as D
+from tessella.llm import html_text as H
+from tessella.llm import mixing as X
+from tessella.llm import secret_scan as S
+from tessella.llm import surrogates as P
+from tessella.llm import token_counts as T
+
+ODD = "doc_id long, text string, source string, score int, items string, spans int, n_entities int, secrets int, copy_no2 int"
+
+
+def odd(spark, texts):
+    """Documents with null ids, repeated rows and clashing columns."""
+    rows = [(i, t, "s", 1, "i", 2, 3, 4, 5) for i, t in enumerate(texts)] + [(None, None, None, None, None, None, None, None, None), (0, texts[0] if texts else None, "s", 1, "i", 2, 3, 4, 5)]
+    return spark.createDataFrame(rows if texts else [], ODD)
+
+
+TEXTS = [None, "", " ", "The cat sat on the mat and looked at the moon above the old house today.", "é" * 50_000, "MAT and looked", "one two three four five six seven eight nine ten eleven twelve", "x\0y"]
+
+
+# benchmark decontamination
+
+
+def contaminated_by_force(text, items, n):
+    w = D.words(text)
+    hit, found = set(), set()
+    for item, t in items:
+        v = D.words(t)
+        size = min(n, len(v))
+        for i in range(len(v) - size + 1 if v else 0):
+            for j in range(len(w) - size + 1):
+                if w[j : j + size] == v[i : i + size]:
+                    hit |= set(range(j, j + size))
+                    found |= {item} - {None}
+    return len(w), hit, sorted(found)
+
+
+ITEMS = [("b", "Cat SAT, on the mat; and looked at the moon above"), ("a", "mat and looked"), ("c", None), ("d", " "), (None, "five six"), ("a", "three four five six seven eight nine ten eleven twelve"), ("b", "mat and looked")]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 64])
+def test_decontamination(spark, block_bytes):
+    docs = odd(spark, TEXTS)
+    bench = spark.createDataFrame(ITEMS, "item_id string, text string")
+    got = D.find_contamination(docs, bench, block_bytes=block_bytes).collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        n, hit, items = contaminated_by_force(r["text"], ITEMS, 10)
+        assert (r["n_words"], {i for s in r["spans"] for i in range(s["start"], s["end"])}, r["items"]) == (n, hit, items)
+    kept = D.remove_contaminated(docs, bench, "documents")
+    assert kept.columns == docs.columns and kept.count() == sum(not contaminated_by_force(r["text"], ITEMS, 10)[1] for r in docs.collect())
+    cut = {r["doc_id"]: r["text"] for r in D.remove_contaminated(docs, bench).collect()}
+    assert cut[3] == "The the old house today." and cut[5] == "" and cut[6] == "one two" and cut[7] == "x\0y" and cut[0] is None
+
+
+def test_decontamination_of_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert D.find_contamination(odd(spark, []), none).count() == 0
+    assert {r["n_words"] for r in D.find_contamination(odd(spark, ["a b"]), none).collect()} == {2, 0}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab ", max_size=30), max_size=5), st.lists(st.text("ab ", max_size=14), max_size=4))
+def test_window_scan(texts, items):
+    items = [(str(i), t) for i, t in enumerate(items)]
+    got = list(D.Windows(items, 3).scan([D.words(t) for t in texts]))
+    for t, (hit, found) in zip(texts, got):
+        _, want, names = contaminated_by_force(t, items, 3)
+        assert set(hit.nonzero()[0]) == want and sorted(found) == names
+
+
+# token counts
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER))
+    texts = [*TEXTS, "It's we'll '' 'S don't\n\n  x  <|endoftext|> y", "Ⅷ²³ ½ ՘a\U0001df2b ١٢ 漢字カナ 😀😀 \x1c\x85\xa0 z", "a" * 30_000, "\t\r\n  　 end  "]
+    got = T.count_tokens(odd(spark, texts), T.TOKENIZER).collect()
+    assert len(got) == len(texts) + 2
+    want = {i: (len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)} | {None: (0, 0)}
+    assert all((r["n_bytes"], r["n_tokens"]) == want[r["doc_id"]] and r["over_limit"] == (r["n_tokens"] > 1024) for r in got)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40))
+def test_token_counts_of_any_text(text):
+    assert COUNT(text) == len(COUNT.tok.encode(text, add_special_tokens=False).ids)
+
+
+def _counter():
+    import public_tokenizers
+
+    path = public_tokenizers.path(T.TOKENIZER)
+    return T.Counter(path, *T.prove_single(path), memo=50)
+
+
+COUNT = _counter()
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        T.supported(public_tokenizers.path("word_bpe_49k.json"))
+
+
+# secrets
+
+
+def test_secrets(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [None, "", f'x token = "{secret}" y', f"commit {secret} merged", "card 4785380592391139 and 555-7713", "z" * 200_000, f'TOKEN = "{secret.upper()}"!! é', "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", 'token = "xxxxxxxxxxxxxxxxxxxxxxxx"']
+    docs = odd(spark, texts)
+    got = {r["doc_id"]: r for r in S.scan_secrets(docs).collect()}
+    assert [got[i]["n_secrets"] for i in range(9)] == [0, 0, 1, 0, 0, 0, 1, 1, 0]
+    assert got[2]["text"] == 'x token = "[SECRET]" y' and got[3]["text"] == texts[3] and got[7]["text"] == "[SECRET]"
+    s = got[6]["secrets"][0]
+    assert texts[6][s["start"] : s["end"]] == secret.upper() and got[None]["n_candidates"] == 0
+    assert S.scan_secrets(odd(spark, [])).count() == 0
+
+
+def test_forest_on_other_findings():
+    forest = S.Forest(*S.labelled_findings(1500))
+    x, y = S.labelled_findings(600, seed=77)
+    assert ((forest(x) >= 0.5) == y).mean() > 0.97
+
+
+# pages
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var x="</p>";</script></head><body><header class="site-header"><h1>Site</h1></header>
+<nav><ul><li><a href="/">Home</a><li><a>About</a></ul></nav><div class="cookie-notice">We use cookies</div><div id="sidebar"><p>Popular things</p></div>
+<{tag}><h1>Head&amp;line</h1><p>First  para <b>bold
+</b>text&nbsp;&eacute;.<p>Second<br>para.<div class="ad">Buy</div><p>Ok.</p><form><label>Mail</label><input></form><section class="comments"><p>I disagree with this very long article entirely.</p></section></{tag}>
+<aside>Related</aside><footer>&copy; me</footer></body></html>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_main_text(tag):
+    assert H.main_text(PAGE.format(tag=tag)) == "Head&line\nFirst para bold text é.\nSecond para.\nOk."
+
+
+def test_pages(spark):
+    pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>only</p>"), (3, "u", "<p>only</p>"), (4, "u", "<nav>x</nav>"), (5, "u", "no markup &lt;"), (None, "u", "<article>" + "<p>a b</p>" * 5000 + "</article>"), (6, "u", "<article><p>cut <b>off")]
+    df = spark.createDataFrame([(a, b, c, 9, "t") for a, b, c in pages], "page_id long, url string, html string, n_chars int, text string")
+    got = {r["page_id"]: r for r in H.extract(df).collect()}
+    assert {k: r["text"] for k, r in got.items() if k} == {1: "", 2: "", 3: "only", 4: "", 5: "no markup <", 6: "cut off"}
+    assert got[None]["n_chars"] == 5000 * 4 - 1 and H.extract(df.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("<>/pbadivnav=\"'&;!- x", max_size=80))
+def test_broken_pages_never_fail(page):
+    H.main_text(page)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text("abc é&<", min_size=1, max_size=40).filter(lambda t: t.strip()), min_size=1, max_size=8))
+def test_article_round_trip(blocks):
+    page = f"<nav>Menu</nav><article>{''.join(f'<p>{html.escape(b)}</p>' for b in blocks)}</article><footer>x</footer>"
+    assert H.main_text(page) == "\n".join(" ".join(b.split()) for b in blocks)
+
+
+# surrogates
+
+
+def entities(text):
+    return re.findall(r"[\w.]+@[\w.]+\w|\d{1,3}(?:\.\d{1,3}){3}|\d{16}|\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{4}", text or "")
+
+
+PRIVATE = [None, "", "none here", "mail ann.7@mail3.example.com or ANN.7@MAIL3.EXAMPLE.COM or bob.7@mail3.example.com!!", "card 4539578763621486 ip 10.200.3.44", "call +1 (017) 555-7713 or 555-7713", "Mr Paul Smith met Mrs Anna Smith and Dr. Lee; Herr Müller, Господин Иванов", "4539578763621486 again", "1.2.3 v 4.5.6.7.8 12345-6789", "e" * 100_000 + "@", "Señora Gómez y Señor Gómez"]
+
+
+@pytest.mark.parametrize("small", [P.SMALL, -1])
+def test_surrogates(spark, small):
+    docs = odd(spark, PRIVATE)
+    out = P.replace_private(docs, small=small)
+    assert out.columns == [c for c in docs.columns if c != "n_entities"] + ["n_entities"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i in (0, 1, 2, 8, 9):
+        assert got[i]["text"] == PRIVATE[i] and got[i]["n_entities"] == 0
+    a, b, c = re.findall(r"\S+@[\w.]+", got[3]["text"])
+    assert got[3]["n_entities"] == 3 and a.lower() == b.lower() and b.isupper() is False or b == b.upper()
+    assert a != c and a.split("@")[1] == c.split("@")[1] and a not in PRIVATE[3] and re.fullmatch(r"[a-z]{3}\.\d@[a-z]{4}\d\.[a-z]{7}\.com", a)
+    card = re.search(r"\d{16}", got[4]["text"])[0]
+    assert card == re.search(r"\d{16}", got[7]["text"])[0] != "4539578763621486"
+    double = [int(d) * 2 - 9 * (int(d) > 4) if i % 2 == 0 else int(d) for i, d in enumerate(card)]
+    assert sum(double) % 10 == 0
+    ip = re.search(r"\d+\.\d+\.\d+\.\d+", got[4]["text"])[0]
+    assert ip != "10.200.3.44" and all(0 < int(o) < 256 for o in ip.split("."))
+    assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{4}", got[5]["text"]) and "555-7713" not in got[5]["text"]
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+) (\w+) and Dr\. (\w+); Herr (\w+), Господин (\w+)", got[6]["text"])
+    assert m[1] in P._GIVEN["latin", "m"].split() and m[3] in P._GIVEN["latin", "f"].split() and re.fullmatch("[а-яА-Я]+", m[7]) and got[6]["n_entities"] == 5
+
+
+def test_collisions_are_redrawn(spark, monkeypatch):
+    """With few surrogates many entities meet; still all stay different."""
+    rows = [(i, f"{a}.{b}.1.1") for i, (a, b) in enumerate((a, b) for a in range(1, 6) for b in range(1, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r["text"] for r in P.replace_private(docs).collect()]
+    assert len(set(out)) == len(rows) and not set(out) & {t for _, t in rows}
+
+
+def test_surrogates_of_nothing(spark):
+    assert P.replace_private(odd(spark, [])).count() == 0
+
+
+# mixing
+
+
+def poisson_count(u, rate):
+    p = c = math.exp(-rate)
+    k = 0
+    while c <= u:
+        k += 1
+        p *= rate / k
+        c += p
+        if k > 500:
+            break
+    return k
+
+
+def mixed_by_force(rows, weights, total):
+    n = Counter(s or "" for _, _, s in rows)
+    w = {s: 1.0 if weights is None else weights.get(s, 0.0) for s in n}
+    out = Counter()
+    for i, t, s in rows:
+        rate = (total or len(rows)) * w[s or ""] / sum(w.values()) / n[s or ""]
+        key = "\x1f".join(["mix-1", "" if i is None else str(i), hashlib.md5((t or "").encode()).hexdigest()])
+        k = poisson_count(int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52, rate)
+        out.update((i, s, c) for c in range(k))
+    return out
+
+
+@pytest.mark.parametrize("small", [X.SMALL, 0])
+@pytest.mark.parametrize("weights,total", [(None, None), ({"a": 3.0, "c": 1.0}, 2000), ({"b": 1.0}, 1200)])
+def test_mixing(spark, small, weights, total):
+    rows = [(i, f"text {i}", "a" if i % 3 else "b") for i in range(300)] + [(900, None, "c"), (None, "x", None), (900, None, "c")]
+    docs = spark.createDataFrame([(i, t, s, "n") for i, t, s in rows], "doc_id long, text string, source string, n string")
+    got = X.mix(docs, weights, total, small=small)
+    assert got.columns == [*docs.columns, "copy_no"]
+    assert Counter((r["doc_id"], r["source"], r["copy_no"]) for r in got.collect()) == mixed_by_force(rows, weights, total)
+
+
+def test_mixing_moves_to_the_weights(spark):
+    docs = spark.createDataFrame([(i, "t", "a" if i % 10 else "b") for i in range(5000)], "doc_id long, text string, source string")
+    n = Counter(r["source"] for r in X.mix(docs, {"a": 1, "b": 3}).collect())
+    assert abs(n["a"] - 1250) < 150 and abs(n["b"] - 3750) < 250
+
+
+def test_mixing_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert X.mix(none).count() == 0
+    one = spark.createDataFrame([(1, "t", "a")], "doc_id long, text string, source string")
+    assert abs(X.mix(one, total=1000).count() - 1000) < 150
+    for bad in ({"a": -1.0}, {"z": 1.0}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            X.mix(one, bad)
