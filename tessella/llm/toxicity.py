@@ -33,7 +33,7 @@ BUCKETS, GRAMS, LONGEST_WORD = 1 << 14, (3, 4, 5), 24
 VOCABULARY = 20_000
 ROUNDS, EPOCHS = 3, 3
 #: Words whose inputs a worker remembers; windows that it scores at once.
-MEMO, CHUNK = 400_000, 512
+MEMO, CHUNK = 250_000, 512
 
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
