@@ -3,8 +3,9 @@
 The standard library's parser streams events; block-level tags cut the page into
 lines.  A line's ratio is its characters over its tags.  The ratios are smoothed
 with a Gaussian, and lines over a threshold cluster into content regions (Weninger,
-Hsu, Han 2010).  The element that holds most of the regions' text, an article or
-main element where the page has one, is the article: its lines are kept, the short
+Hsu, Han 2010).  The article is all article and main elements where these hold most
+of the regions' text, and otherwise the lowest container (never a paragraph, heading,
+list or cell) that holds all of the regions and titles: its lines are kept, the short
 ones too, without what stands in elements that are no article text by their tag,
 role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments).
@@ -26,8 +27,8 @@ from tessella.llm._common import table
 SIGMA = 1.0
 #: Share of the mean smoothed ratio that a content line must reach.
 LEVEL = 0.5
-#: Share of the regions' text that the article's element must hold, where no tag names it.
-COVER = 0.9
+#: Share of the regions' text that article and main elements must hold to be the article.
+MOST = 0.5
 CHUNK = 1 << 16
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video head title".split())
 _NOT_ARTICLE = frozenset("nav footer aside form button select textarea option datalist dialog menu fieldset input".split()) | _NO_TEXT
 _MAIN = frozenset(("article", "main"))
+#: Elements that may be the article where no tag names it.
+_CONTAINERS = frozenset("html body div section center".split()) | _MAIN
 #: A new one of these ends an open one, back to the nearest element of the second set.
 _ENDS = {t: frozenset(x.split()) for t, x in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 _WALLS = frozenset("table ul ol dl article main section div body html aside nav header footer form blockquote select".split())
@@ -54,7 +57,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, element, no article text, within an article
-        self.parent, self.main = [-1], [False]
+        self.parent, self.main, self.tag = [-1], [False], [""]
         self.lines: list[tuple[str, int, bool, int]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -107,6 +110,7 @@ class _Lines(HTMLParser):
         else:
             self.parent.append(self.open[-1][1] if self.open else 0)
             self.main.append(tag in _MAIN or a.get("role", "").lower() == "main")
+            self.tag.append(tag)
             element = len(self.parent) - 1
         self.open.append((tag, element, bad, within or tag in _MAIN))
 
@@ -158,24 +162,21 @@ def main_text(html: str | None) -> str:
     content = good & (near >= LEVEL * near.mean())
     if not content.any():
         content = good
+    content |= good & np.array([p.tag[e] == "h1" for *_, e in p.lines])
     # text of the regions by element, and in all that is inside it
     own = np.zeros(len(p.parent))
     np.add.at(own, [e for *_, e in p.lines], np.where(content, size, 0))
     total = own.copy()
     for e in range(len(total) - 1, 0, -1):
         total[p.parent[e]] += total[e]
-    depth = [0] * len(total)
-    for e in range(1, len(total)):
-        depth[e] = depth[p.parent[e]] + 1
-    named = [e for e in range(1, len(total)) if p.main[e] and total[e] > 0]
-    if named:
-        best = max(total[e] for e in named)
-        article = max((e for e in named if total[e] >= COVER * best), key=lambda e: (depth[e], total[e], -e))
-    else:
-        article = max((e for e in range(len(total)) if total[e] >= COVER * total[0]), key=lambda e: depth[e])
     inside = np.zeros(len(total), bool)
-    for e in range(len(total)):
-        inside[e] = e == article or e > 0 and inside[p.parent[e]]
+    for e in range(1, len(total)):
+        inside[e] = p.main[e] and total[e] > 0 or inside[p.parent[e]]
+    if own[inside].sum() <= MOST * total[0]:
+        article = max(e for e in range(len(total)) if total[e] == total[0] and (e == 0 or p.tag[e] in _CONTAINERS))
+        inside[:] = False
+        for e in range(len(total)):
+            inside[e] = e == article or e > 0 and inside[p.parent[e]]
     return "\n".join(t for t, _, bad, e in p.lines if inside[e] and not bad)
 
 

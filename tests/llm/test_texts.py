@@ -153,6 +153,17 @@ def test_main_text(tag):
     assert H.main_text(PAGE.format(tag=tag)) == "Head&line\nFirst para bold text é.\nSecond para.\nOk."
 
 
+def test_no_part_of_an_article_is_lost():
+    title, lead, body, end = "A title of some thirty letters", "The lead stands before it.", " ".join(["Long text."] * 90), "And so the story ends here, at last."
+    whole = "\n".join((title, body, end))
+    assert H.main_text(f"<body><div><h1>{title}</h1><p>{body}</p><p>{end}</p></div></body>") == whole
+    assert H.main_text(f"<body><div><h1>{title}</h1><div><p>{body}</p></div><p>{end}</p></div></body>") == whole
+    assert H.main_text(f"<main><h1>{title}</h1><p>{lead}</p><article><p>{body}</p></article></main>") == "\n".join((title, lead, body))
+    assert H.main_text(f"<article><p>{body}</p></article><article><p>{end}</p></article><footer>x</footer>") == "\n".join((body, end))
+    assert H.main_text(f"<div><p>{body}</p></div><article><p>{end}</p></article>") == "\n".join((body, end))
+    assert H.main_text(f"<div><ul><li>{body}</li></ul><p>{end}</p></div><nav>Menu</nav>") == "\n".join((body, end))
+
+
 def test_pages(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>only</p>"), (3, "u", "<p>only</p>"), (4, "u", "<nav>x</nav>"), (5, "u", "no markup &lt;"), (None, "u", "<article>" + "<p>a b</p>" * 5000 + "</article>"), (6, "u", "<article><p>cut <b>off")]
     df = spark.createDataFrame([(a, b, c, 9, "t") for a, b, c in pages], "page_id long, url string, html string, n_chars int, text string")
