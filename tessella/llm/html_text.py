@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _NO_TEXT = frozenset("script style noscript template iframe object svg math canvas audio video head title".split())
-_NOT_ARTICLE = frozenset("nav footer aside form button select textarea option datalist dialog menu fieldset input".split()) | _NO_TEXT
+_NOT_ARTICLE = frozenset("nav footer aside button select textarea option datalist dialog menu fieldset input".split()) | _NO_TEXT
 _MAIN = frozenset(("article", "main"))
 #: Elements that may be the article where no tag names it.
 _CONTAINERS = frozenset("html body div section center".split()) | _MAIN
@@ -42,15 +42,31 @@ _CONTAINERS = frozenset("html body div section center".split()) | _MAIN
 _ENDS = {t: frozenset(x.split()) for t, x in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 _WALLS = frozenset("table ul ol dl article main section div body html aside nav header footer form blockquote select".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promos?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|"
-    r"site-header|page-header|masthead|footer|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|pagination|pager|toolbar|widget|skip-link)(?:$|[\s_-])",
-    re.I,
+#: A class or id marks what is no article text if one of its tokens, as a whole, is made of
+#: these words and of places and shapes ("cookie-banner", "sidebar-left"; not "has-sidebar").
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promos banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu navbar navigation nav breadcrumb breadcrumbs "
+    "masthead footer comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget skip".split()
 )
-_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+_PLACES = frozenset("main site page top bottom left right primary secondary global bar box list links link buttons button icons area container wrapper wrap slot unit block widgets posts articles stories form items item side".split())
+#: Of an article or main element only these are believed; and these also of what holds most of a page.
+_APART = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promos related recommended".split())
+_READERS = frozenset("comment comments commentlist disqus respond replies reply".split())
+_PARTS = re.compile(r"[_-]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _marks(named: str, within: bool) -> frozenset[str]:
+    """The words by which a class or id says that an element is no article text."""
+    out: frozenset[str] = frozenset()
+    for token in named.lower().replace("side-bar", "sidebar").split():
+        parts = frozenset(_PARTS.split(token.strip("_-")))
+        noise = parts & _NOISE if within else parts & (_NOISE | {"header"})
+        if noise and parts - noise <= _PLACES and parts != {"skip"}:
+            out |= noise
+    return out
+
+
 class _Lines(HTMLParser):
     """Cuts a page into lines: (text, tags, inside something that is no article text, element)."""
 
@@ -58,6 +74,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, element, no article text, within an article
         self.parent, self.main, self.tag = [-1], [False], [""]
+        self.marks: dict[int, frozenset[str]] = {}  # elements that may be no article text, and why
         self.lines: list[tuple[str, int, bool, int]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -73,7 +90,7 @@ class _Lines(HTMLParser):
     def _pop(self, at: int) -> None:
         if any(x[0] not in _INLINE for x in self.open[at:]):
             self._cut()
-        elif any(x[2] for x in self.open[at:]) and not (at and self.open[at - 1][2]):
+        elif any(x[2] for x in self.open[at:]) and not (at and self.open[at - 1][2]) or any(x[1] in self.marks for x in self.open[at:]) and self.open[-1][1] != (self.open[at - 1][1] if at else 0):
             self._cut()
         del self.open[at:]
 
@@ -100,18 +117,23 @@ class _Lines(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         outer, within = (self.open[-1][2], self.open[-1][3]) if self.open else (False, False)
         bad = outer or tag in _NOT_ARTICLE or tag == "header" and not within or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true"
+        marks: frozenset[str] = frozenset()
         if not bad and tag not in ("html", "body"):
-            named = f"{a.get('class', '')} {a.get('id', '')}"
-            bad = bool(_WORDS.search(named)) or not within and bool(_HEADER.search(named)) or bool(_HIDDEN.search(a.get("style", "")))
-        if bad and not outer and tag in _INLINE:
+            bad = bool(_HIDDEN.search(a.get("style", "")))
+            marks = _marks(f"{a.get('class', '')} {a.get('id', '')}", within)
+            if tag == "form":
+                marks |= {"form"}
+        if (bad and not outer or marks) and tag in _INLINE:
             self._cut()
-        if tag in _INLINE:
+        if tag in _INLINE and not marks:
             element = self.open[-1][1] if self.open else 0
         else:
             self.parent.append(self.open[-1][1] if self.open else 0)
             self.main.append(tag in _MAIN or a.get("role", "").lower() == "main")
             self.tag.append(tag)
             element = len(self.parent) - 1
+            if marks:
+                self.marks[element] = marks
         self.open.append((tag, element, bad, within or tag in _MAIN))
 
     def handle_startendtag(self, tag, attrs):
@@ -143,6 +165,32 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), k)[reach : reach + len(ratios)]
 
 
+def _marked(p: _Lines, size: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Elements in one that its name marks as no article text; names of what holds the article don't count."""
+    out = np.zeros(len(p.parent), bool)
+    if not p.marks:
+        return out
+    total = np.zeros(len(out))
+    np.add.at(total, [e for *_, e in p.lines], np.where(good, size, 0))
+    for e in range(len(total) - 1, 0, -1):
+        total[p.parent[e]] += total[e]
+    # the largest article and all around it
+    believed = np.ones(len(out), bool)
+    main = max((e for e in range(1, len(out)) if p.main[e] and total[e] > 0), key=lambda e: (total[e], -e), default=0)
+    e = main
+    while e > 0:
+        believed[e] = False
+        e = p.parent[e]
+    for e, marks in p.marks.items():
+        if p.main[e]:
+            believed[e] &= bool(marks & (_APART | _READERS))
+        elif not main and total[e] >= MOST * total[0]:
+            believed[e] &= bool(marks & _READERS)
+    for e in range(1, len(out)):
+        out[e] = out[p.parent[e]] or e in p.marks and believed[e]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one per line; empty for null, empty and textless pages."""
     if not html:
@@ -158,6 +206,9 @@ def main_text(html: str | None) -> str:
     good = np.array([not bad for _, _, bad, _ in p.lines])
     if not good.any():
         return ""
+    marked = _marked(p, size, good)
+    unmarked = good & ~marked[[e for *_, e in p.lines]]
+    good = unmarked if unmarked.any() else good  # a name alone never empties a page
     near = smooth(size / np.maximum(1, [n for _, n, _, _ in p.lines]))
     content = good & (near >= LEVEL * near.mean())
     if not content.any():
@@ -177,7 +228,7 @@ def main_text(html: str | None) -> str:
         inside[:] = False
         for e in range(len(total)):
             inside[e] = e == article or e > 0 and inside[p.parent[e]]
-    return "\n".join(t for t, _, bad, e in p.lines if inside[e] and not bad)
+    return "\n".join(t for (t, *_, e), kept in zip(p.lines, good) if inside[e] and kept)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

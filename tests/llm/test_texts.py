@@ -164,6 +164,22 @@ def test_no_part_of_an_article_is_lost():
     assert H.main_text(f"<div><ul><li>{body}</li></ul><p>{end}</p></div><nav>Menu</nav>") == "\n".join((body, end))
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-with-sidebar", "comments-open", "sidebar", "post no-sidebar alert", "social-history"])
+def test_a_name_never_empties_a_page(name):
+    body, more = " ".join(["Long text."] * 30), "A shorter paragraph stands here."
+    text = f"{body}\n{more}"
+    inner = f"<p>{body}</p><p>{more}</p>"
+    for page in (f'<div class="{name}"><article>{inner}</article></div>', f'<article class="{name}">{inner}</article>', f'<main id="{name}">{inner}</main>', f'<div class="{name}">{inner}</div>', f'<form class="{name}"><div>{inner}</div></form>'):
+        assert H.main_text(f"<body>{page}<nav>Menu</nav></body>") == text
+    assert H.main_text(f'<article><p>{body}</p><section id="related-work"><p>{more}</p></section></article>') == text
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar", "cookie-banner", "sidebar-left", "main-nav", "related-posts", "share-buttons", "comments", "comments-area"])
+def test_what_a_name_marks_still_goes(name):
+    body = " ".join(["Long text."] * 30)
+    assert H.main_text(f'<article><p>{body}</p><div class="{name}"><p>Not this.</p></div><p>An <span class="{name}">nor this</span> end.</p></article>') == f"{body}\nAn\nend."
+
+
 def test_pages(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>only</p>"), (3, "u", "<p>only</p>"), (4, "u", "<nav>x</nav>"), (5, "u", "no markup &lt;"), (None, "u", "<article>" + "<p>a b</p>" * 5000 + "</article>"), (6, "u", "<article><p>cut <b>off")]
     df = spark.createDataFrame([(a, b, c, 9, "t") for a, b, c in pages], "page_id long, url string, html string, n_chars int, text string")
