@@ -32,19 +32,26 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 BUCKETS, GRAMS, LONGEST_WORD = 1 << 14, (3, 4, 5), 24
 VOCABULARY = 20_000
 ROUNDS, EPOCHS = 3, 3
-#: Words whose inputs a worker remembers; windows that it scores at once.
+#: Words (or pieces of longer runs) whose inputs a worker remembers; windows that it scores at once.
 MEMO, CHUNK = 250_000, 512
 
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
+    """Runs of letters and digits; a longer one (glued or unspaced text) as overlapping pieces that cover it."""
+    runs = text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
+    if max(map(len, runs), default=0) <= LONGEST_WORD:
+        return runs
+    out = []
+    for w in runs:
+        out += [w] if len(w) <= LONGEST_WORD else [w[i : i + LONGEST_WORD] for i in (*range(0, len(w) - LONGEST_WORD, LONGEST_WORD // 2), len(w) - LONGEST_WORD)]
+    return out
 
 
 def gram_ids(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each character n-gram of each word (rows; 0 where there is none), and their number."""
-    padded = [b"^" + (w if len(w) <= LONGEST_WORD else w[: LONGEST_WORD // 2] + w[-LONGEST_WORD // 2 :]) + b"$" for w in ws]
+    padded = [b"^" + w + b"$" for w in ws]
     length = np.array([len(p) for p in padded])
     width = int(length.max(initial=3))
     c = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in padded), np.uint8).reshape(len(ws), width).astype(np.uint32)

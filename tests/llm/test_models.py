@@ -102,6 +102,19 @@ def test_model_learns_words_and_their_pieces():
     assert unseen > 100 * plain
 
 
+def test_long_runs_are_read_whole():
+    model = T.Model([b"idiot"])
+    score = lambda t: T.Scorer(model).scores([t])[0]
+    for left, word, right in (("x" * 40, "idiot", "x" * 40), ("今天天气很好我们去公园", "白痴", "散步然后回家吃饭吧朋友"), ("преподавательни", "дурак", "цеобразовательны")):
+        run = (left + word + right).encode()
+        pieces = T.words(left + word + right)
+        assert any(word.encode() in p for p in pieces) and all(len(p) <= T.LONGEST_WORD and p in run for p in pieces)
+        assert {run[i : i + 5] for i in range(len(run) - 4)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+        other = left + {"idiot": "paper", "白痴": "花草", "дурак": "цветы"}[word] + right
+        assert score(left + word + right) != score(other)
+    assert T.words("short words stay") == [b"short", b"words", b"stay"]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = T.op4_toxicity(spark, "/root/testdata/sf0.01").collect()
     assert all(r["held_out"] == (fold(r["doc_id"], 5) == 0) for r in rows)
