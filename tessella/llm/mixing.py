@@ -8,8 +8,8 @@ other documents come or go.  Each document is exploded by its count, and the
 copies are dealt and sorted by a hash: a global shuffle.
 
 Only DataFrame functions run here.  Documents are counted per source before
-anything is shuffled; the table of rates is broadcast only if its counted rows fit
-``small``, and is otherwise joined with the documents' sources salted.
+anything is shuffled; the table of rates is broadcast only if its counted rows
+(and terms) fit ``small``, and is otherwise joined with the documents' sources salted.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from tessella.llm._common import table
 SEED = "mix-1"
 #: Rows of the rates' table that may be broadcast; and the salts of a source beyond.
 SMALL, SALTS = 10_000, 32
-#: Largest mean for which the distribution is inverted term by term.
-MOST = 200.0
+#: Terms of the distributions that a row of a broadcast table may have, on average.
+TERMS = 450
+#: Largest mean for which the terms start at 0 copies; beyond, e^-mean is too small for a double.
+MOST = 700.0
 
 
 def _uniform(*parts: Column) -> Column:
@@ -33,20 +35,29 @@ def _uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _first(rate: Column) -> Column:
+    """The least count whose term may matter for 52 bits."""
+    return F.when(rate <= MOST, F.lit(0.0)).otherwise(F.floor(rate - 12 * F.sqrt(rate) - 30).cast("double"))
+
+
 def _cumulated(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of the Poisson distribution, as far as it may matter for 52 bits."""
+    """P(X <= k) of the Poisson distribution from the least k, as far as it may matter for 52 bits."""
+    low = _first(rate)
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+    # log P(X = low) by Stirling's series, whose next term is under 1e-15 here
+    far = low - rate - low * F.log1p((low - rate) / rate) - F.log(2 * math.pi * low) / 2 - 1 / (12 * low) + 1 / (360 * low * low * low)
+    first = F.when(rate <= MOST, F.exp(-rate)).otherwise(F.exp(far))
+    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
 
     def step(a, k):
         p = a["p"] * rate / k
         return F.struct(p.alias("p"), (a["c"] + p).alias("c"), F.concat(a["all"], F.array(a["c"] + p)).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["all"])
+    return F.aggregate(F.sequence(low.cast("int") + 1, last), start, step, lambda a: a["all"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, source: str = "source") -> DataFrame:
-    """(source, n_docs, rate, cdf) for each source; ``weights`` None: all sources alike.
+    """(source, n_docs, rate, first, cdf) for each source, cdf from ``first`` copies on; ``weights`` None: all sources alike.
     Sources without a weight get rate 0. A null source is a source by the name ''."""
     counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).agg(F.count("*").alias("n_docs"))
     if weights is None:
@@ -59,14 +70,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         counts = counts.join(given, "s", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     sums = counts.agg(F.sum("w").alias("w"), F.sum("n_docs").alias("n")).first()
     if not sums["n"]:
-        return counts.select("s", "n_docs", F.lit(0.0).alias("rate"), F.array(F.lit(1.0)).alias("cdf"))
+        return counts.select("s", "n_docs", F.lit(0.0).alias("rate"), F.lit(0.0).alias("first"), F.array(F.lit(1.0)).alias("cdf"))
     if not sums["w"]:
         raise ValueError("no source has a weight above 0")
     size = float(total if total is not None else sums["n"])
     rate = F.lit(size) * F.col("w") / F.lit(float(sums["w"])) / F.col("n_docs")
     out = counts.select("s", "n_docs", rate.alias("rate"))
-    # a large mean is a whole number of copies and a Poisson rest
-    return out.withColumn("whole", F.greatest(F.lit(0.0), F.floor(F.col("rate") - MOST).cast("double"))).withColumn("cdf", _cumulated(F.col("rate") - F.col("whole")))
+    return out.withColumn("first", _first(F.col("rate"))).withColumn("cdf", _cumulated(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED, source: str = "source", key: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
@@ -79,15 +89,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     """
     r = rates(docs, weights, total, source)
     named = docs.withColumn("_s", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    table_of = r.select(F.col("s").alias("_s"), "cdf", *([F.col("whole")] if "whole" in r.columns else [F.lit(0.0).alias("whole")]))
-    if table_of.limit(small + 1).count() <= small:
+    table_of = r.select(F.col("s").alias("_s"), "cdf", "first")
+    size = r.limit(small + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("rate") - F.col("first") + 12 * F.sqrt("rate") + 31), F.lit(0.0)).alias("terms")).first()
+    if size["n"] <= small and size["terms"] <= small * TERMS:
         joined = named.join(F.broadcast(table_of), "_s")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
         joined = named.withColumn("_salt", F.pmod(F.hash(F.col(key), F.col(text)), F.lit(SALTS))).join(table_of.select("*", salt), ["_s", "_salt"])
     one = F.coalesce(F.col(key).cast("string"), F.lit(""))
     u = _uniform(F.lit(seed), one, F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
-    n = F.col("whole").cast("int") + F.size(F.filter("cdf", lambda c: c <= u))
+    n = F.col("first").cast("int") + F.size(F.filter("cdf", lambda c: c <= u))
     copies = joined.withColumn("_n", n).where("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     place = F.xxhash64(F.lit(seed), one, F.col(text), F.col("copy_no"))
     dealt = copies.withColumn("_place", place).repartition(F.col("_place")).sortWithinPartitions("_place")

@@ -282,6 +282,19 @@ def test_mixing(spark, small, weights, total):
     assert Counter((r["doc_id"], r["source"], r["copy_no"]) for r in got.collect()) == mixed_by_force(rows, weights, total)
 
 
+@pytest.mark.parametrize("rate", [199.5, 400.0, 690.0, 701.0, 3000.0, 250_000.0])
+def test_large_rates_follow_the_whole_distribution(spark, rate):
+    docs = spark.createDataFrame([(i, f"t{i}", "a") for i in range(20)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n"] for r in X.mix(docs, total=20 * rate).groupBy("doc_id").agg(X.F.count("*").alias("n")).collect()}
+    for i in range(20):
+        key = "\x1f".join(["mix-1", str(i), hashlib.md5(f"t{i}".encode()).hexdigest()])
+        u = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
+        k, c = max(0, int(rate - 40 * rate**0.5)), 0.0
+        while (c := c + math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))) <= u:
+            k += 1
+        assert got[i] == k
+
+
 def test_mixing_moves_to_the_weights(spark):
     docs = spark.createDataFrame([(i, "t", "a" if i % 10 else "b") for i in range(5000)], "doc_id long, text string, source string")
     n = Counter(r["source"] for r in X.mix(docs, {"a": 1, "b": 3}).collect())
