@@ -1,6 +1,6 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long tokens that aren't plain words, values assigned to names such
+Candidates are long tokens that aren't made of dictionary words alone, values assigned to names such
 as password or token, and private key blocks.  A random forest, trained from
 labelled findings, decides which of them are secrets, by their length, character
 classes and transitions, the likelihood of their letter pairs, the share of them
@@ -41,6 +41,8 @@ _PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|rk_li
 _SECRET_WORD = re.compile(rf"(?<![a-z])(?:{_NAMES}|login|creds?|authenticate|aws|oauth|jwt)(?![a-z])", re.I)
 _SAFE_WORD = re.compile(r"(?<![a-z])(?:commit|revision|rev|sha|sha1|sha256|sha512|md5|hash|checksum|digest|integrity|etag|uuid|guid|id|order|invoice|isbn|doi|tracking|serial|build|version|card|phone|example|sample|dummy|fake|placeholder|test|fixture|color|base64|image|data|file|trace|request)(?![a-z])", re.I)
 _DUMMY = re.compile(r"x{4,}|\*{3,}|\.{3,}|your|example|placeholder|change.?me|dummy|sample|redacted|todo|insert|<|\$\{|%\(|abcdef|123456|(.)\1{5,}", re.I)
+_PART = re.compile(r"[^=]+")
+_RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _DICTIONARY = frozenset(
     "about access account action active address after again agent alert allow also always another answer application around asset author back base before below between block board body book border branch browser build button call cannot case center change channel check class clear client close cloud code collection color column comment common company config connection content control copy count create current custom data database date debug default delete deploy design detail device dialog different directory display document domain download each edit element email empty enable entry error event every example export external factory false family field file filter final find first folder font footer form format found frame from function general generate global good great group handle header height help hidden home host house html http https icon image import index info input inside install instance internal interface issue item java just know label language large last latest layout left length level library light like line link list little live load local location long look main make manager many map master match menu message method mode model module more most move name need network never next node normal note number object only open option order other output over package page panel parent part password path people person place plugin point policy post power press price primary print private process product profile program project public query question quick read record region release remote remove report request reset resource response result return right role root route rule sample save schema screen script search second secret section secure security select server service session setting share should show simple single size small sort source space start state static status step still storage store stream string style submit support switch system table target task team template test text that their them then there these they thing think this time title token tool total track true type under unique update upload user util value version video view water website what when where which while width will window with word work world would write year your"
@@ -48,6 +50,11 @@ _DICTIONARY = frozenset(
 )
 
 
+def _explained(v: str) -> bool:
+    """Nothing but dictionary words, in letters alone."""
+    return not any(c.isdigit() for c in v) and all(len(r) < 3 or r.lower() in _DICTIONARY for r in _RUN.findall(v)) and max(map(len, _RUN.findall(v)), default=0) > 2
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what may be a secret, in order, without overlaps."""
     data = text.encode("utf-8", "surrogatepass")
@@ -57,18 +64,23 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     low = data.lower()
     if any(h in low for h in _HINTS):
         found += [(*m.span(1), "assigned") for m in _ASSIGNED.finditer(text)]
-    if any(len(w) >= LEAST and not w.isalpha() for w in data.translate(_TOKEN).split()):
+    if any(len(w) >= LEAST for w in data.translate(_TOKEN).split()):
+        named = list(found)
         for m in _LONG.finditer(text):
             a, b = m.span()
             while b > a and text[b - 1] in ".-_/":
                 b -= 1
             while a < b and text[a] in ".-/=":
                 a += 1
-            if b - a >= LEAST and any(c.isdigit() for c in m[0]):
-                eq = text.rfind("=", a, b - 2)
-                if eq >= 0 and b - eq > LEAST:  # name=value
-                    a = eq + 1
-                found.append((a, b, "token"))
+            if b - a < LEAST:
+                continue
+            # name=value, and more of them; up to two signs at the end are padding
+            c = b - min(2, b - a - len(text[a:b].rstrip("=")))
+            parts = [(a + p.start(), a + p.end()) for p in _PART.finditer(text[a:c])]
+            if parts and parts[-1][1] == c:
+                parts[-1] = (parts[-1][0], b)
+            parts = [p for p in parts if p[1] - p[0] >= LEAST] or [(a, b)] * (not any(s < b and e > a for s, e, _ in named))
+            found += [(*p, "token") for p in parts if not _explained(text[p[0] : p[1]])]
     out: list[tuple[int, int, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -93,26 +105,25 @@ _KIND = {**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 0), **dict.fromkeys("ABCD
 def features(text: str, start: int, end: int, source: str = "") -> list[float]:
     v = text[start:end]
     n = len(v)
-    head = v[:4096]  # character statistics of a value need no more; its length is whole
-    kinds = [_KIND.get(c, 3) for c in head]
-    share = [kinds.count(k) / len(head) for k in range(4)]
-    counts = Counter(head)
-    entropy = -sum(c / len(head) * math.log2(c / len(head)) for c in counts.values())
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(head) - 1)
-    letters = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in head.lower()]
+    kinds = [_KIND.get(c, 3) for c in v]
+    share = [kinds.count(k) / len(v) for k in range(4)]
+    counts = Counter(v)
+    entropy = -sum(c / len(v) * math.log2(c / len(v)) for c in counts.values())
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(v) - 1)
+    letters = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in v.lower()]
     likely = float(np.mean([_PAIRS[a, b] for a, b in zip(letters, letters[1:])])) if len(letters) > 1 else 0.0
-    covered = sum(len(w) for run in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", head) for w in [run.lower()] if w in _DICTIONARY) / len(head)
-    alpha = max((len(x) for x in re.findall(r"[A-Za-z]+", head)), default=0) / len(head)
-    digits = max((len(x) for x in re.findall(r"\d+", head)), default=0) / len(head)
+    covered = sum(len(w) for run in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", v) for w in [run.lower()] if w in _DICTIONARY) / len(v)
+    alpha = max((len(x) for x in re.findall(r"[A-Za-z]+", v)), default=0) / len(v)
+    digits = max((len(x) for x in re.findall(r"\d+", v)), default=0) / len(v)
     before, after = text[max(0, start - 60) : start], text[end : end + 40]
     near = " ".join(before.split()[-4:])
     last = before.split()[-1] if before.split() and not before[-1:].isspace() else ""
     return [
-        math.log2(n), *share, entropy, entropy / math.log2(max(2, len(counts))) if len(counts) > 1 else 0.0, changes, likely, covered, alpha, digits, len(counts) / len(head),
-        float(bool(re.fullmatch(r"[0-9a-fA-F]+", head))), float(head.isdigit()), float(bool(_PREFIX.match(v))), float(bool(_UUID.fullmatch(head))),
+        math.log2(n), *share, entropy, entropy / math.log2(max(2, len(counts))) if len(counts) > 1 else 0.0, changes, likely, covered, alpha, digits, len(counts) / len(v),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", v))), float(v.isdigit()), float(bool(_PREFIX.match(v))), float(bool(_UUID.fullmatch(v))),
         float(bool(_ASSIGNS.search(before))), float(bool(_SECRET_WORD.search(near))), float(bool(_SAFE_WORD.search(near))), float(bool(_SAFE_WORD.search(" ".join(after.split()[:3])))),
-        float(before[-1:] in "\"'`" and before != ""), float(head.count("/") / len(head)), float("://" in last or "/" in last or after[:1] == "/" or "." in last), float(bool(_DUMMY.search(head))),
-        float(bool(re.search(r"test|example|doc|sample|fixture", source, re.I))), float(len(head) in (32, 40, 56, 64, 96, 128)),
+        float(before[-1:] in "\"'`" and before != ""), float(v.count("/") / len(v)), float("://" in last or "/" in last or after[:1] == "/" or "." in last), float(bool(_DUMMY.search(v))),
+        float(bool(re.search(r"test|example|doc|sample|fixture", source, re.I))), float(len(v) in (32, 40, 56, 64, 96, 128)),
     ]
 
 
