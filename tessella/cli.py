@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.operators import attributes, flat, keyed, regex
 from tessella.sources import corpus, storage
 
+#: Matches of a regular expression that are shown.
+SHOWN = 10
+
 
 def open_corpus(spark: SparkSession, kind: str, path: str) -> DataFrame:
     docs = corpus.read_files(spark, path).select("doc_id", "content")
@@ -30,7 +33,9 @@ def answer(spark: SparkSession, kind: str, data: DataFrame, line: str):
     if name == "explain":
         return regex.explain(arg)
     if name == "regex":
-        return regex.show(data if kind == "file" else keyed.shard_texts(data), arg)
+        if kind == "file":
+            return regex.show(data, arg)
+        return keyed.regex_search(data if kind == "kv" else attributes.rendered(data), arg).orderBy("shard_id", "off", "len").limit(SHOWN)
     if kind == "attrs":
         if name in ("search", "count"):
             return (attributes.search if name == "search" else attributes.count)(data, *arg.split(" ", 1))
@@ -57,7 +62,8 @@ def main(args: list[str]) -> None:
         if line == "exit":
             break
         out = answer(spark, kind, data, line)
-        print(out if isinstance(out, str) else "\n".join(str(tuple(r)) for r in out.collect()))
+        for r in [out] if isinstance(out, str) else map(str, map(tuple, out.toLocalIterator())):  # a part of the rows at a time
+            print(r)
 
 
 if __name__ == "__main__":

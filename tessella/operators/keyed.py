@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.bytes import as_bytes, count_overlapping, holds, offsets, slice_bytes
+from tessella.operators import regex
+from tessella.plans import regex as syntax
 
 #: Offsets of one block of the offset lookup.
 SPAN = 1 << 16
@@ -27,12 +29,33 @@ def _one_line(pattern: str | bytes) -> bool:
     return b"\n" not in as_bytes(pattern)
 
 
-def search(kv: DataFrame, pattern: str | bytes) -> DataFrame:
-    """(key): records in which an occurrence starts. A pattern with a newline is looked for
-    across records of a shard and belongs to the record where it starts."""
+def _across_lines(kv: DataFrame, pattern: str | bytes) -> DataFrame:
+    """(shard_id, key, off): occurrences of a pattern with newlines, one at most in a record.
+
+    A value must end with what stands before the first newline, the next ones equal
+    what stands between, and one more start with the rest. The next record is the one
+    whose offset follows, so each step is an equi-join of rows that pass their filter."""
+    head, *middle, tail = as_bytes(pattern).split(b"\n")
+    value, size = F.col("value"), F.octet_length("value").cast("long")
+    found = kv.where(F.endswith(value, F.lit(head))).select("shard_id", "key", (F.col("value_offset") + size - len(head)).alias("off"), (F.col("value_offset") + size + 1).alias("next"))
+    for i, piece in enumerate([*middle, tail]):
+        fits = F.startswith(value, F.lit(piece)) if i == len(middle) else value == F.lit(piece)
+        after = kv.where(fits).select("shard_id", F.col("value_offset").alias("next"), (F.col("value_offset") + size + 1).alias("then"))
+        found = found.join(after, ["shard_id", "next"]).select("shard_id", "key", "off", F.col("then").alias("next"))
+    return found.select("shard_id", "key", "off")
+
+
+def hits(kv: DataFrame, pattern: str | bytes) -> DataFrame:
+    """(shard_id, key): records in which an occurrence starts. A pattern with a newline is looked
+    for across records of a shard and belongs to the record where it starts."""
     if _one_line(pattern):
-        return kv.where(holds(F.col("value"), pattern)).select("key")
-    return flat_search(kv, pattern).join(_blocks(kv), _within(), "inner").select("key").distinct()
+        return kv.where(holds(F.col("value"), pattern)).select("shard_id", "key")
+    return _across_lines(kv, pattern).select("shard_id", "key")
+
+
+def search(kv: DataFrame, pattern: str | bytes) -> DataFrame:
+    """(key): records in which an occurrence starts, see ``hits``."""
+    return hits(kv, pattern).select("key")
 
 
 def count(kv: DataFrame, pattern: str | bytes) -> DataFrame:
@@ -42,7 +65,8 @@ def count(kv: DataFrame, pattern: str | bytes) -> DataFrame:
 
 def shard_texts(kv: DataFrame) -> DataFrame:
     """(doc_id, content) of each shard: its values in key order with newlines between. A
-    shard is one file's text by definition, so it is put together in one task."""
+    shard is one file's text by definition, so it is put together in one task. Only a
+    regular expression that can match a newline needs it."""
     rows = kv.groupBy("shard_id").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("r"))
     text = F.array_join(F.transform("r", lambda x: F.decode(x["value"], "ISO-8859-1")), "\n")
     return rows.select(F.col("shard_id").alias("doc_id"), F.encode(text, "ISO-8859-1").alias("content"))
@@ -54,8 +78,7 @@ def flat_search(kv: DataFrame, pattern: str | bytes) -> DataFrame:
         hit = kv.where(holds(F.col("value"), pattern))
         found = hit.select("shard_id", "value_offset", F.explode(offsets(F.col("value"), pattern)).alias("o"))
         return found.select("shard_id", F.explode(F.transform("o", lambda x: x + F.col("value_offset"))).alias("off"))
-    texts = shard_texts(kv)
-    return texts.select(F.col("doc_id").alias("shard_id"), F.explode(offsets(F.col("content"), pattern)).alias("o")).select("shard_id", F.explode("o").alias("off"))
+    return _across_lines(kv, pattern).select("shard_id", "off")
 
 
 def flat_count(kv: DataFrame, pattern: str | bytes) -> DataFrame:
@@ -79,21 +102,27 @@ def flat_extract(kv: DataFrame, shard_id: int, offset: int, length: int) -> Data
     return got.select(F.encode("p", "ISO-8859-1").alias("data"))
 
 
-def _blocks(kv: DataFrame) -> DataFrame:
-    """Records by the blocks of ``SPAN`` offsets that they and their newline cover."""
-    end = F.col("value_offset") + F.octet_length("value")
-    rows = kv.select("shard_id", "key", F.col("value_offset").alias("lo"), end.alias("hi"))
-    return rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / SPAN), F.floor(F.col("hi") / SPAN)))).withColumnRenamed("shard_id", "s")
-
-
-def _within() -> Column:
-    return (F.col("shard_id") == F.col("s")) & (F.floor(F.col("off") / SPAN) == F.col("block")) & (F.col("off") >= F.col("lo")) & (F.col("off") <= F.col("hi"))
-
-
 def key_of_offset(kv: DataFrame, at: DataFrame) -> DataFrame:
     """(shard_id, off, key) for each row of ``at(shard_id, off)``: the record whose bytes, its
-    newline included, hold the offset. A range join made an equi-join on blocks of offsets."""
-    return at.join(_blocks(kv), _within()).select("shard_id", "off", "key")
+    newline included, hold the offset; past the end the shard's last one. Null for a
+    negative offset and for a shard that isn't there.
+
+    Starts of records and offsets are sorted together in blocks of ``SPAN`` offsets,
+    and each offset takes the last start before it; an offset asked for many times
+    is looked up once.
+    """
+    size = F.octet_length("value").cast("long")
+    block = lambda c: F.floor(c / SPAN)
+    ends = kv.groupBy("shard_id").agg(F.max(F.col("value_offset") + size).alias("end"))
+    # the last byte asked for, so that what lies past the end needs no search
+    asked = at.join(ends, "shard_id", "left").select("shard_id", "off", F.when(F.col("off").isNotNull() & F.col("end").isNotNull(), F.least("off", "end")).alias("pos"))
+    asks = asked.where("pos >= 0").select("shard_id", "pos").distinct()
+    asks = asks.select("shard_id", block(F.col("pos")).alias("block"), "pos", F.lit(None).cast("long").alias("key"), F.lit(1).alias("ask"))
+    covered = F.explode(F.sequence(block(F.col("value_offset")), block(F.col("value_offset") + size)))
+    starts = kv.select("shard_id", covered.alias("block"), "value_offset", "key").select("shard_id", "block", F.greatest("value_offset", F.col("block") * SPAN).alias("pos"), "key", F.lit(0).alias("ask"))
+    order = Window.partitionBy("shard_id", "block").orderBy("pos", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.union(asks).withColumn("key", F.last("key", ignorenulls=True).over(order)).where("ask = 1").select("shard_id", "pos", "key")
+    return asked.join(found, ["shard_id", "pos"], "left").select("shard_id", "off", "key")
 
 
 def position_of_key(kv: DataFrame, keys: DataFrame) -> DataFrame:
@@ -108,3 +137,47 @@ def num_keys(kv: DataFrame) -> DataFrame:
 def search_field(kv: DataFrame, value: str, separator: str = "|") -> DataFrame:
     """(key): records with a whole separated field equal to ``value``, not the first or last one."""
     return search(kv, f"{separator}{value}{separator}")
+
+
+def _by_record(pattern: str) -> bool:
+    """Whether no match of a sub-expression can hold a newline, so that each lies in one record."""
+    return not any(syntax.may_hold(t, 10) for t in syntax.parts(pattern))
+
+
+def regex_search(kv: DataFrame, pattern: str, mode: str = "reference") -> DataFrame:
+    """(shard_id, off, len): all matches in the shards' texts, by byte offset.
+
+    Matches that can't hold a newline are looked for record by record, and only they,
+    not texts, meet over a gap."""
+    if not _by_record(pattern):
+        return regex.search(shard_texts(kv), pattern, mode).withColumnRenamed("doc_id", "shard_id")
+    if ".*" not in pattern:
+        return _record_matches(kv, pattern, mode).select("shard_id", "off", "len")
+    first, *others = pattern.split(".*")
+    found = _record_matches(kv, first, mode).select("shard_id", "off", (F.col("off") + F.col("len")).alias("end"))
+    for i, sub in enumerate(others):
+        right = _record_matches(kv, sub, mode).select("shard_id", F.col("off").alias("o"), (F.col("off") + F.col("len")).alias("e"))
+        # a start's least end allows all that its other ends allow
+        found = found.groupBy("shard_id", "off").agg(F.min("end").alias("end"))
+        pairs = found.join(right, (found["shard_id"] == right["shard_id"]) & (F.col("o") >= F.col("end"))).select(found["shard_id"], "off", F.col("e").alias("end"))
+        found = pairs.distinct() if i == len(others) - 1 else pairs
+    return found.select("shard_id", "off", (F.col("end") - F.col("off")).alias("len"))
+
+
+def _record_matches(kv: DataFrame, pattern: str, mode: str) -> DataFrame:
+    """(shard_id, key, off, len) of a pattern without gaps, whose matches lie in one record."""
+    at = F.struct("shard_id", "key", "value_offset")
+    found = regex.search(kv.select(at.alias("doc_id"), F.col("value").alias("content")), pattern, mode)
+    return found.select("doc_id.shard_id", "doc_id.key", (F.col("doc_id.value_offset") + F.col("off")).alias("off"), "len")
+
+
+def regex_keys(kv: DataFrame, pattern: str, mode: str = "reference") -> DataFrame:
+    """(shard_id, key): records in which a match starts, each once."""
+    if _by_record(pattern) and ".*" not in pattern:
+        return _record_matches(kv, pattern, mode).select("shard_id", "key").distinct()
+    return key_of_offset(kv, regex_search(kv, pattern, mode).select("shard_id", "off").distinct()).select("shard_id", "key").distinct()
+
+
+def regex_count(kv: DataFrame, pattern: str, mode: str = "reference") -> DataFrame:
+    """(sub_id, n): matches of each sub-expression between gaps, over all shards."""
+    return regex.count(kv.select(F.col("key").alias("doc_id"), F.col("value").alias("content")) if _by_record(pattern) else shard_texts(kv), pattern, mode)

@@ -1,23 +1,25 @@
 """All-match regular expression search, see ``plans.regex`` for the dialect.
 
 The pattern is parsed on the driver. Bytes that every match needs become a filter
-that runs before the matcher; the matcher runs over Arrow batches, each text on its
-own, in one pass per possible start.
+that runs before the matcher. A choice of literals stays in generated code; all else
+runs over Arrow batches, each text on its own, in one pass per possible start.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.bytes import holds
+from tessella.functions.bytes import count_overlapping, holds, offsets
 from tessella.plans import regex as syntax
-from tessella.plans.regex import Automaton, parts, required
-
+from tessella.plans.regex import Automaton, literals, parts, required
 
 
 def _finder(tree, mode: str, most: int | None):
@@ -28,54 +30,106 @@ def _finder(tree, mode: str, most: int | None):
     return lambda data: [(m.start(), n) for m in starts.finditer(data) for n in auto.lengths(data, m.start(), most)]
 
 
-def _with_gaps(found: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-    """Pairs of a match and any later match of the next sub-expression, folded from the left."""
-    left = found[0]
-    for right in found[1:]:
+def _over_gaps(found: list[list[tuple[int, int]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Offsets and lengths of a match and any later match of the next sub-expression, and so on: distinct,
+    by start. A start's least end allows all that its other ends allow, so it is all that is kept of it."""
+    starts = np.array(sorted({o for o, _ in found[0]}), np.int64)
+    least = dict.fromkeys(starts.tolist(), 1 << 62)
+    for o, n in found[0]:
+        least[o] = min(least[o], o + n)
+    ends = np.array([least[o] for o in starts.tolist()], np.int64)
+    for k, right in enumerate(found[1:], 1):
         right = sorted(right)
-        out, at = set(), sorted({(o + n, o) for o, n in left})
-        first = 0
-        for end, o in at:
-            while first < len(right) and right[first][0] < end:
-                first += 1
-            out.update((o, r + n - o) for r, n in right[first:])
-        left = sorted(out)
-    return left
+        at, to = np.array([o for o, _ in right], np.int64), np.array([o + n for o, n in right], np.int64)
+        if k < len(found) - 1:
+            i = np.searchsorted(at, ends)
+            starts, i = starts[i < len(at)], i[i < len(at)]
+            ends = np.minimum.accumulate(to[::-1])[::-1][i]
+            continue
+        # distinct ends, those that begin last first: what may follow an end is a prefix
+        last = dict(zip(to.tolist(), at.tolist()))
+        order = sorted(last, key=lambda e: -last[e])
+        far, begins = np.array(order, np.int64), -np.array([last[e] for e in order], np.int64)
+        for o, m in zip(starts.tolist(), np.searchsorted(begins, -ends, "right").tolist()):
+            if m:
+                yield np.full(m, o), far[:m] - o
+
+
+def _choices(words: list[bytes], most: int | None) -> Column:
+    """Offsets and lengths of all occurrences of some literals, in generated code."""
+    at = lambda w: F.transform(F.flatten(F.coalesce(offsets(F.col("content"), w), F.array().cast("array<array<bigint>>"))), lambda o: F.struct(o.alias("off"), F.lit(len(w)).cast("long").alias("len")))
+    return F.concat(*(at(w) for w in words if most is None or len(w) <= most), F.array().cast("array<struct<off:bigint,len:bigint>>"))
+
+
+def _scanned(docs: DataFrame, trees: list, mode: str) -> DataFrame:
+    """The texts that can have matches of all sub-expressions."""
+    if mode not in syntax.MODES:
+        raise ValueError(f"mode must be one of {syntax.MODES}")
+    rows = docs.select("doc_id", F.col("content").cast("binary").alias("content")).where("content is not null")
+    for need in {required(t) for t in trees} - {b""}:
+        rows = rows.where(holds(F.col("content"), need))
+    return rows
 
 
 def search(docs: DataFrame, pattern: str, mode: str = "reference", max_len: int | None = None) -> DataFrame:
     """(doc_id, off, len): all matches, distinct, of ``docs(doc_id, content)``. Null contents have
     none. ``max_len`` bounds the length of a sub-expression's match; None: no bound."""
     trees = parts(pattern)
-    if mode not in syntax.MODES:
-        raise ValueError(f"mode must be one of {syntax.MODES}")
-    rows = docs.select("doc_id", F.col("content").cast("binary").alias("content")).where("content is not null")
-    if mode == "reference" or all(t != syntax.Blank() for t in trees):
-        for need in {required(t) for t in trees} - {b""}:
-            rows = rows.where(holds(F.col("content"), need))
+    rows = _scanned(docs, trees, mode)
+    if len(trees) == 1 and (words := literals(trees[0])) is not None:
+        some = reduce(or_, (holds(F.col("content"), w) for w in words), F.lit(False))
+        return rows.where(some).select("doc_id", F.explode(_choices(words, max_len)).alias("m")).select("doc_id", "m.off", "m.len")
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finders = [_finder(t, mode, max_len) for t in trees]
         for b in batches:
-            for k, content in zip(b.column(0), b.column(1)):
-                data = content.as_py()
-                hits = _with_gaps([f(data) for f in finders])
-                for i in range(0, len(hits), 1 << 16):
-                    part = hits[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(part), b.column(0).type), pa.array([o for o, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], names=["doc_id", "off", "len"])
-
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, off long, len long")
+            rows, offs, lens, size = [], [], [], 0
+            for i, content in enumerate(b.column(1)):
+                found = []
+                for f in finders:
+                    found.append(f(content.as_py()))
+                    if not found[-1]:
+                        break
+                if not found[-1]:
+                    continue
+                for o, n in _over_gaps(found) if len(found) > 1 else (tuple(np.array(found[0], np.int64).T),):
+                    rows.append(np.full(len(o), i)), offs.append(o), lens.append(n)
+                    size += len(o)
+                    if size >= 1 << 16:
+                        yield _batch(b, rows, offs, lens)
+                        rows, offs, lens, size = [], [], [], 0
+            if rows:
+                yield _batch(b, rows, offs, lens)
+
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, off long, len long")
+
+
+def _batch(b: pa.RecordBatch, rows: list, offs: list, lens: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(offs)), pa.array(np.concatenate(lens))], names=["doc_id", "off", "len"])
 
 
 def count(docs: DataFrame, pattern: str, mode: str = "reference") -> DataFrame:
-    """(sub_id, n): matches of each sub-expression between gaps, over all texts."""
-    spark = docs.sparkSession
-    out = spark.createDataFrame([(i,) for i in range(len(parts(pattern)))], "sub_id int")
-    counts = None
-    for i, sub in enumerate(pattern.split(".*")):
-        one = search(docs, sub, mode).agg(F.lit(i).alias("sub_id"), F.count("*").alias("n"))
-        counts = one if counts is None else counts.union(one)
-    return out.join(counts, "sub_id").select("sub_id", "n")
+    """(sub_id, n): matches of each sub-expression between gaps, over all texts, in one pass."""
+    trees = parts(pattern)
+    rows = _scanned(docs, trees if len(trees) == 1 else [], mode)
+    choices = [literals(t) for t in trees]
+    if all(c is not None for c in choices):
+        sizes = [F.coalesce(F.sum(reduce(add, (count_overlapping(F.col("content"), w) for w in c), F.lit(0).cast("long"))), F.lit(0).cast("long")) for c in choices]
+        one = rows.agg(F.array(*(F.struct(F.lit(i).alias("sub_id"), n.alias("n")) for i, n in enumerate(sizes))).alias("c"))
+        return one.select(F.inline("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders = [_finder(t, mode, None) for t in trees]
+        for b in batches:
+            n = [0] * len(trees)
+            for content in b.column(0):
+                for i, f in enumerate(finders):
+                    n[i] += len(f(content.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["sub_id", "n"])
+
+    every = docs.sparkSession.range(len(trees)).select(F.col("id").cast("int").alias("sub_id"), F.lit(0).cast("long").alias("n"))
+    return rows.select("content").mapInArrow(run, "sub_id int, n long").union(every).groupBy("sub_id").agg(F.sum("n").alias("n"))
 
 
 def show(docs: DataFrame, pattern: str, limit: int = 10, mode: str = "reference") -> DataFrame:

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.bytes import holds, slice_bytes
+from tessella.functions.bytes import slice_bytes
 from tessella.operators import flat, keyed
+from tessella.operators import regex as matcher
 
 KEY_BITS = 32
 
@@ -58,15 +59,33 @@ def sizes(shards: DataFrame) -> DataFrame:
     return shards.agg(F.countDistinct("doc_id").alias("n_shards"), F.coalesce(F.sum(F.octet_length("content").cast("long") + 1), F.lit(0).cast("long")).alias("total_size"))
 
 
+def regex(shards: DataFrame, pattern: str, mode: str = "reference", local: bool = False) -> DataFrame:
+    """(doc_id, off, len): all matches, by global offset, or with ``local`` by the shards' own."""
+    found = matcher.search(shards, pattern, mode)
+    return found if local else found.join(bases(shards), "doc_id").select("doc_id", (F.col("off") + F.col("base")).alias("off"), "len")
+
+
 def keyed_search(kv: DataFrame, pattern: str | bytes, local_keys: bool = False) -> DataFrame:
-    """(key): global keys; with ``local_keys`` the set of the shards' own keys, in which equal ones merge."""
-    hit = kv.where(holds(F.col("value"), pattern))
+    """(key): global keys of the records where an occurrence starts, a pattern with newlines may go on in
+    the next ones; with ``local_keys`` the set of the shards' own keys, in which equal ones merge."""
+    hit = keyed.hits(kv, pattern)
     return hit.select("key").distinct() if local_keys else hit.select(pack(F.col("shard_id"), F.col("key")).alias("key"))
 
 
 def keyed_count(kv: DataFrame, pattern: str | bytes) -> DataFrame:
     """(shard_id, n): records found, by shard; shards without any too."""
-    return kv.groupBy("shard_id").agg(F.sum(holds(F.col("value"), pattern).cast("long")).alias("n"))
+    found = keyed.hits(kv, pattern).groupBy("shard_id").agg(F.count("*").alias("n"))
+    return kv.groupBy("shard_id").agg(F.lit(0).cast("long").alias("n")).union(found).groupBy("shard_id").agg(F.sum("n").alias("n"))
+
+
+def keyed_regex(kv: DataFrame, pattern: str, mode: str = "reference") -> DataFrame:
+    """(shard_id, off, len): all matches, by offset in the shard's text."""
+    return keyed.regex_search(kv, pattern, mode)
+
+
+def keyed_regex_keys(kv: DataFrame, pattern: str, mode: str = "reference") -> DataFrame:
+    """(key): global keys of the records where a match starts, each once."""
+    return keyed.regex_keys(kv, pattern, mode).select(pack(F.col("shard_id"), F.col("key")).alias("key"))
 
 
 def keyed_get(kv: DataFrame, keys: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.bytes import as_bytes
 from tessella.sources.corpus import SENTINEL
+from tessella.sources.storage import written
 
 DIRECT = 4096
 
@@ -35,7 +36,7 @@ def suffix_array(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
         shifted = ranks.select("doc_id", (F.col("pos") - k).alias("pos"), F.col("rank").alias("next"))
         pairs = ranks.join(shifted, ["doc_id", "pos"], "left").withColumn("next", F.coalesce("next", F.lit(-1).cast("long")))
         new = pairs.select("doc_id", "pos", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("rank", "next")).cast("long").alias("rank"))
-        ranks = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        ranks = written(new)  # cuts the lineage, which would double each round
         k *= 2
         if k > longest or ranks.groupBy("doc_id").agg((F.max("rank") < F.count("*")).alias("open")).where("open").isEmpty():
             break
@@ -81,3 +82,26 @@ def pattern_range(docs: DataFrame, sa: DataFrame, pattern: str | bytes) -> DataF
     starts = F.substring("c", (F.col("sa") + 1).cast("int"), F.lit(len(p))) == F.lit(p)
     rows = sa.join(_ring(docs), "doc_id").groupBy("doc_id").agg(F.min(F.when(starts, F.col("idx"))).alias("lo"), F.max(F.when(starts, F.col("idx"))).alias("hi"))
     return rows.select("doc_id", F.coalesce("lo", F.lit(0).cast("long")).alias("first"), F.coalesce("hi", F.lit(-1).cast("long")).alias("last"))
+
+
+def _row_range(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc_id, first, last) of the rows (doc_id, idx) that are left; 0 and -1 where none is."""
+    left = rows.groupBy("doc_id").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+    return ranges.select("doc_id").join(left, "doc_id", "left").select("doc_id", F.coalesce("lo", F.lit(0).cast("long")).alias("first"), F.coalesce("hi", F.lit(-1).cast("long")).alias("last"))
+
+
+def continue_backward(docs: DataFrame, sa: DataFrame, ranges: DataFrame, pattern: str | bytes) -> DataFrame:
+    """(doc_id, first, last): the range of ``pattern`` followed by what ``ranges(doc_id, first, last)`` matched."""
+    p = as_bytes(pattern)
+    inside = sa.join(ranges, "doc_id").where("idx between first and last").select("doc_id", (F.col("sa") - len(p)).alias("pos")).where("pos >= 0")
+    same = F.substring("c", (F.col("pos") + 1).cast("int"), F.lit(len(p))) == F.lit(p)
+    before = inside.join(_ring(docs), "doc_id").where(same).select("doc_id", "pos")
+    return _row_range(before.join(inverse(sa), ["doc_id", "pos"]).select("doc_id", F.col("isa").alias("idx")), ranges)
+
+
+def continue_forward(docs: DataFrame, sa: DataFrame, ranges: DataFrame, matched: int, pattern: str | bytes) -> DataFrame:
+    """(doc_id, first, last): the range of the ``matched`` bytes that ``ranges`` stands for, followed by ``pattern``."""
+    p = as_bytes(pattern)
+    inside = sa.join(ranges, "doc_id").where("idx between first and last").join(_ring(docs), "doc_id")
+    same = F.substring("c", (F.col("sa") + matched + 1).cast("int"), F.lit(len(p))) == F.lit(p)
+    return _row_range(inside.where(same).select("doc_id", "idx"), ranges)

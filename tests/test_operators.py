@@ -1,11 +1,12 @@
 """Operators against byte strings searched in Python."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessella.functions import bytes as fb
-from tessella.operators import attributes, flat, keyed, sharded, suffix, workload
+from tessella.operators import attributes, flat, keyed, regex, sharded, suffix, workload
 from tessella.sources import corpus, storage
 
 TEXTS = [b"aaaa", b"aab", "éb".encode(), b"a\nb\n", b"", b"ab\ncd", b"a.b axb", bytes(range(256)) * 3, b"xy" * 6000]
@@ -72,6 +73,8 @@ def test_keyed(spark, docs):
     assert bytes(keyed.flat_extract(kv, 5, 1, 3).first()["data"]) == b"b\nc"
     at = spark.createDataFrame([(5, i) for i in range(6)], "shard_id long, off long")
     assert {r["off"]: r["key"] for r in keyed.key_of_offset(kv, at).collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1}
+    odd = spark.createDataFrame([(5, 99), (5, 99), (5, -1), (8, 0), (5, None)], "shard_id long, off long")
+    assert sorted(map(str, map(tuple, keyed.key_of_offset(kv, odd).collect()))) == sorted(["(5, 99, 1)", "(5, 99, 1)", "(5, -1, None)", "(8, 0, None)", "(5, None, None)"])
     assert {r["key"]: r["value_offset"] for r in keyed.position_of_key(kv, keys).collect()} == {0: 0, 1: 3, 7: -1}
     assert keyed.num_keys(kv).first()["n"] == 2
 
@@ -159,3 +162,106 @@ def test_zipf(spark):
     assert n[0.0]["key"] == 0 and n[0.0]["count"] > 600 and n[1.0]["count"] < 200
     with pytest.raises(ValueError):
         workload.zipf_keys(spark, 5, 5, 2.0)
+
+
+LINES = {1: b"ab\ncd\n\nab\ncd", 2: b"", 3: b"xb\nc" + b"-" * 70_000 + b"\nb\n\n\nb", 4: b"\n\n\n"}
+
+
+@pytest.fixture(scope="module")
+def sharded_lines(spark):
+    return corpus.lines(spark.createDataFrame([(k, bytearray(v)) for k, v in LINES.items()], "doc_id long, content binary")).cache()
+
+
+def record_of(shard, off):
+    return LINES[shard][:off].count(b"\n")
+
+
+@pytest.mark.parametrize("p", [b"b\nc", b"\n", b"\n\n", b"b\n", b"\nc", b"b\n\nab", b"-\nb\n\n\n", b"cd", b"d\n\na", b"zz\nb"])
+def test_patterns_with_newlines_cross_records(sharded_lines, p):
+    kv, at = sharded_lines, {(k, o) for k, t in LINES.items() for o in hits(t, p)}
+    assert {tuple(r) for r in keyed.flat_search(kv, p).collect()} == at
+    assert keyed.flat_count(kv, p).first()["n"] == len(at)
+    keys = {(k, record_of(k, o)) for k, o in at}
+    assert sorted(r["key"] for r in keyed.search(kv, p).collect()) == sorted(k for _, k in keys)
+    assert {r["key"] for r in sharded.keyed_search(kv, p).collect()} == {(s << 32) + k for s, k in keys}
+    assert {r["key"] for r in sharded.keyed_search(kv, p, local_keys=True).collect()} == {k for _, k in keys}
+    assert {r["shard_id"]: r["n"] for r in sharded.keyed_count(kv, p).collect()} == {s: sum(x == s for x, _ in keys) for s in LINES}
+
+
+@pytest.mark.parametrize("p", ["b|cd", "[a-c]+", "b.*c", "a.*b.*c", "b\n", "b\n.*b", "[^a]d", "zz", "zz.*b", ""])
+def test_keyed_regex(spark, sharded_lines, p):
+    kv = sharded_lines.where("shard_id != 3")
+    texts = spark.createDataFrame([(k, bytearray(v)) for k, v in LINES.items() if k != 3], "doc_id long, content binary")
+    expected = {tuple(r) for r in regex.search(texts, p).collect()}
+    found = sharded.keyed_regex(kv, p).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    assert {tuple(r) for r in keyed.regex_keys(kv, p).collect()} == {(s, record_of(s, o)) for s, o, _ in expected}
+    assert {r["key"] for r in sharded.keyed_regex_keys(kv, p).collect()} == {(s << 32) + record_of(s, o) for s, o, _ in expected}
+    subs = p.split(".*")
+    assert {(r["sub_id"], r["n"]) for r in keyed.regex_count(kv, p).collect()} == {(i, regex.search(texts, s).count()) for i, s in enumerate(subs)}
+
+
+def test_sharded_regex(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"xab")), (2, bytearray(b"ab.b"))], "doc_id long, content binary")
+    assert {tuple(r) for r in sharded.regex(docs, "a(b)+").collect()} == {(1, 1, 2), (2, 4, 2)}
+    assert {tuple(r) for r in sharded.regex(docs, "a.*b", local=True).collect()} == {(1, 1, 2), (2, 0, 2), (2, 0, 4)}
+
+
+@pytest.mark.parametrize("direct", [4096, 0])
+def test_ranges_continue(spark, direct):
+    docs = spark.createDataFrame([(1, bytearray(b"banana")), (2, bytearray(b"nab"))], "doc_id long, content binary")
+    sa = suffix.suffix_array(docs, direct).cache()
+    at = lambda df: {r["doc_id"]: (r["first"], r["last"]) for r in df.collect()}
+    ana = suffix.pattern_range(docs, sa, "ana")
+    assert at(suffix.continue_backward(docs, sa, ana, "b")) == at(suffix.pattern_range(docs, sa, "bana"))
+    assert at(suffix.continue_forward(docs, sa, ana, 3, "na")) == at(suffix.pattern_range(docs, sa, "anana"))
+    assert at(suffix.continue_backward(docs, sa, ana, "x")) == {1: (0, -1), 2: (0, -1)}
+    assert at(suffix.continue_backward(docs, sa, suffix.pattern_range(docs, sa, "na"), "a")) == at(suffix.pattern_range(docs, sa, "ana"))
+
+
+def test_attribute_text(spark):
+    text = b"a=1,b=x=y\na=1,a=2\n"
+    kv = attributes.rendered(corpus.attribute_lines(spark.createDataFrame([(7, bytearray(text))], "doc_id long, content binary")))
+    assert [(r["shard_id"], r["key"], r["value_offset"], bytes(r["value"])) for r in kv.orderBy("key").collect()] == [(7, 0, 0, b"a=1,b=x=y"), (7, 1, 10, b"a=1,a=2")]
+    assert [r["key"] for r in keyed.search(kv, "1,a").collect()] == [1] and keyed.flat_count(kv, "=").first()["n"] == 5
+
+
+def test_attribute_components_keep_their_size(spark, tmp_path):
+    rows = corpus.attribute_lines(spark.createDataFrame([(0, bytearray(b"a=1,a=2\nc=u v")), (1, bytearray(b"b=3"))], "doc_id long, content binary"))
+    path = f"file://{tmp_path}/attrs"
+    written = storage.save(path, attrs=rows)
+    back = storage.load(spark, path, "attrs")
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    on_disk = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.is_file())
+    assert written == on_disk == storage.total_size(spark, path) == sum(r["bytes"] for r in storage.breakdown(spark, path).collect())
+    buffers = corpus.from_buffers(spark, [b"ab\n", b""])
+    assert [(r["doc_id"], bytes(r["content"])) for r in buffers.orderBy("doc_id").collect()] == [(0, b"ab\n"), (1, b"")]
+
+
+def test_shell_over_every_view(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from tessella import cli
+
+    (tmp_path / "f").write_bytes(b"k=1,b=2\nk=3")
+    monkeypatch.setattr("sys.stdin", io.StringIO("regex k=[0-9]\nsearch k 3\nexit\n"))
+    cli.main(["shell", "attrs", str(tmp_path / "f")])
+    shard = cli.open_corpus(spark, "attrs", str(tmp_path / "f")).first()["shard_id"]
+    assert capsys.readouterr().out.splitlines() == [f"({shard}, 0, 3)", f"({shard}, 8, 3)", "(1,)"]
+    kv = cli.open_corpus(spark, "kv", str(tmp_path / "f"))
+    assert [tuple(r)[1:] for r in cli.answer(spark, "kv", kv, "regex ,b|3").collect()] == [(3, 2), (10, 1)]
+    cli.main(["save", "kv", str(tmp_path / "f"), f"file://{tmp_path}/out"])
+    assert int(capsys.readouterr().out) > 0 and storage.load(spark, f"file://{tmp_path}/out", "kv").count() == 2
+
+
+@pytest.mark.parametrize("s", [0.0, 0.3, 0.5, 1.0])
+def test_partial_sums_without_a_table(s):
+    exact = np.cumsum(np.arange(1, 200_001, dtype=np.longdouble) ** -np.longdouble(s))
+    k = np.array([0, 1, 2, 63, 64, 65, 66, 100, 1000, 199_999, 200_000])
+    got = workload.partial_sums(k, s)
+    assert got[0] == 0 and np.allclose(got[1:], exact[k[1:] - 1].astype(float), rtol=1e-14, atol=0)
+
+
+def test_zipf_keys_of_a_huge_range(spark):
+    keys = [r["key"] for r in workload.zipf_keys(spark, 10**12, 500).collect()]
+    assert all(0 <= k < 10**12 for k in keys) and max(keys) > 10**9 and min(keys) < 10

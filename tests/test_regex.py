@@ -61,6 +61,25 @@ def test_dot_is_one_byte(spark):
     assert found(spark, "a..b", "aéb") == {(0, 4)}
 
 
+def test_choices_of_literals_run_without_python(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"abab|a")), (2, None)], "doc_id long, content binary")
+    for pattern, expected in (("ab|b|ab|a", {(0, 2), (2, 2), (1, 1), (3, 1), (0, 1), (2, 1), (5, 1)}), ("b\\|", {(3, 2)}), ("a|", {(0, 1), (2, 1), (5, 1)})):
+        found = regex.search(docs, pattern)
+        assert {(r["off"], r["len"]) for r in found.collect()} == expected and found.count() == len(expected)
+        assert "Arrow" not in found._jdf.queryExecution().toString()
+    assert {(r["off"], r["len"]) for r in regex.search(docs, "ab|a", max_len=1).collect()} == {(0, 1), (2, 1), (5, 1)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 4)), min_size=1, max_size=6), min_size=2, max_size=4))
+def test_gaps_equal_all_pairs(found):
+    expected = {(o, o + n) for o, n in found[0]}
+    for right in found[1:]:
+        expected = {(o, p + m) for o, e in expected for p, m in right if p >= e}
+    got = [(o, o + n) for os, ns in regex._over_gaps(found) for o, n in zip(os.tolist(), ns.tolist())]
+    assert sorted(got) == sorted(expected)
+
+
 ATOM = st.sampled_from(["a", "b", "ab", ".", "[ab]", "(a)", "(ab)", "(a|b)", "(b|aa)"])
 PATTERN = st.lists(st.tuples(ATOM, st.sampled_from(["", "", "*", "+", "{1,2}", "{0,2}"])).map("".join), min_size=1, max_size=4).map("".join).filter(lambda p: ".*" not in p)  # that is a gap
 
