@@ -10,53 +10,73 @@ optimizer the true size of the table.
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: dict[str, str] = {}
+from tessella.sources.storage import shared_dir
 
+#: Folders with tables that a result still reads; they go when the program ends.
+_left: dict[str, SparkSession] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a temporary one only where the session names
-    none and runs in a single local process (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="tessella-")
-        atexit.register(shutil.rmtree, _local_scratch[app], True)
-    return "file://" + _local_scratch[app]
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in _left.items():
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before: its folder is its own affair
+            return
 
 
 class Scratch:
-    """Scratch tables of one query; ``drop`` removes one that is read no more."""
+    """Scratch tables of one query; ``drop`` removes one that is read no more, ``finish`` all but one."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+        self.paths: set[str] = set()
         self.count = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
+        _left[self.base] = self.spark
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in self.paths:
+            _delete(self.spark, path)
+            self.paths.remove(path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """``df`` as the only table that is left."""
+        out = self.cut(df)
+        for path in self.paths - {out._scratch_path}:
+            _delete(self.spark, path)
+        self.paths = {out._scratch_path}
+        return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1 and so on, so that an operator's own columns clash with none of them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def named(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """Numbered columns by their names again, and the operator's ``more``, which replace those of equal names."""
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in more], *more)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +88,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al. 2014).  A step
     keeps at most as many edges as it got; nodes are only ever joined with a
-    per-node minimum, so a hub's edges stay spread over the tasks that AQE makes
-    of its partition.  Returns (id, component), one row per node with an edge.
+    per-node minimum.  Both sides of these joins are tables, so a hub's edges,
+    whether its id is the smallest or the largest, stay spread over the tasks that
+    AQE makes of its partition.  Returns (id, component), one row per node with an edge.
     Self-loops and edges with a null end are left out; no edges give no rows.
     """
     cur = scratch.cut(
@@ -84,13 +105,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         # as a table of its own, else its partitioning would keep AQE from splitting a hub's edges
         low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = scratch.cut(both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         # in a star each node has one smaller neighbour: what has more still needs the small step
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = scratch.cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi != lo").distinct()
         new = scratch.cut(small)
-        scratch.drop(cur)
-        scratch.drop(low)
+        for done in (cur, low, large, least):
+            scratch.drop(done)
         cur = new
     roots = cur.select("lo").distinct().select(F.col("lo").alias("id"), F.col("lo").alias("component"))
     return cur.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(roots)

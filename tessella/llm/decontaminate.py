@@ -2,35 +2,43 @@
 
 A text is lower-cased (A-Z only) and cut into words; every ``n`` consecutive
 words of a benchmark item are a window, an item with fewer words is one window
-of its own length.  The windows' hashes are a set that every worker holds; the
-documents' token windows are hashed a batch at a time, and each hit is verified
-word by word before it counts.  Hits can be reported, cut out as spans, or drop
+of its own length.  The windows' hashes are a sorted set that every worker holds;
+the documents' token windows are hashed a batch at a time, and each hit is verified
+byte by byte before it counts.  Hits can be reported, cut out as spans, or drop
 the document.
 
-The set's size is checked before it is broadcast: beyond ``block_bytes`` of
-benchmark text the items are dealt into blocks, and the documents pass one block
-after the other.  No block is left out.
+A worker holds the items' normalised text once, and numbers: nothing per window but
+its hash, its place and its items.  What that takes is worked out from the items'
+counted words before anything is broadcast; beyond ``block_bytes`` the items are
+dealt into blocks, and the documents pass one block after the other.  No block is
+left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import Scratch, table
+from tessella.llm._common import Scratch, named, numbered, table
 
 WINDOW = 10
-#: Benchmark text that one broadcast may hold.
-BLOCK_BYTES = 32 << 20
-#: Text that a worker normalises and hashes at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes that one broadcast may hold; bytes per word of an item beside its text (hash, place, items).
+BLOCK_BYTES, WORD_BYTES = 64 << 20, 28
+#: Text that a worker normalises at once; words that it hashes at once.
+CHUNK_BYTES, PIECE = 1 << 20, 1 << 17
+#: Of a longer word (unspaced text) the digest stands in the hashed text.
+LONGEST = 4096
 
 _TO_WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_MULT = 0x9E3779B97F4A7C15
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_CODES = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,61 +46,124 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORD).split() if text else []
 
 
+class _Powers:
+    """Powers of the hash's base and of its inverse, as many as the longest chunk so far needs."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64))]) for x in (_BASE, _INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+class _Stream:
+    """The words of several texts one after the other, and hashes of runs of words by differences of one running sum."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ends = np.cumsum(self.lengths)
+        flat = list(chain.from_iterable(texts))
+        if max(map(len, flat), default=0) > LONGEST:
+            flat = [w if len(w) <= LONGEST else b"\x01" + sha256(w).hexdigest().encode() for w in flat]
+        self.data = b" ".join(flat)
+        raw = np.frombuffer(self.data, np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        n = int(self.lengths.sum())
+        self.start = np.concatenate([[0], gaps + 1]) if n else np.zeros(0, np.int64)
+        self.stop = np.concatenate([gaps, [len(raw)]]) if n else np.zeros(0, np.int64)
+        up, self.down = _powers(len(raw) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[raw] * up[: len(raw)])])
+
+    def runs(self, size: int) -> np.ndarray:
+        """First words of all runs of ``size`` words that lie in one text."""
+        at = np.arange(max(0, len(self.start) - size + 1))
+        return at[at + size <= self.ends[np.searchsorted(self.ends, at, "right")]] if len(at) else at
+
+    def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        a, b = self.start[at], self.stop[at + size - 1]
+        h = (self.sums[b] - self.sums[a]) * self.down[a]
+        h ^= h >> np.uint64(32)
+        return h * np.uint64(0xD6E8FEB86659FD93)
+
+    def text(self, at: int, size: int) -> bytes:
+        return self.data[self.start[at] : self.stop[at + size - 1]]
+
+
 class Windows:
-    """The windows of benchmark items, looked up by hash and verified by words."""
+    """The windows of benchmark items, looked up by hash and verified by their bytes."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        self.items: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            w = words(text)
-            for i in range(max(1, len(w) - n + 1) if w else 0):
-                self.items.setdefault(tuple(w[i : i + n]), set()).update(() if item is None else (item,))
-        self.ids = {w: i for i, w in enumerate(sorted({w for k in self.items for w in k}), 1)}
-        self.by_length: dict[int, np.ndarray] = {}
-        for size in sorted({len(k) for k in self.items}):
-            flat = np.array([self.ids[w] for k in self.items if len(k) == size for w in k], np.uint64)
-            self.by_length[size] = np.unique(self._hash(flat, np.arange(0, len(flat), size), size))
-
-    @staticmethod
-    def _hash(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        """Hashes of the windows that start at ``at``."""
-        h = np.zeros(len(at), np.uint64)
-        for j in range(size):
-            h = (h + ids[at + j]) * np.uint64(_MULT)
-            h ^= h >> np.uint64(29)
-        return h
+        cut = [(i, w) for i, t in items if (w := words(t))]
+        self.names = sorted({i for i, _ in cut if i is not None})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.by_length: dict[int, tuple] = {}
+        for size in sorted({min(n, len(w)) for _, w in cut}):
+            some = [(i, w) for i, w in cut if min(n, len(w)) == size]
+            stream = _Stream([w for _, w in some])
+            at = stream.runs(size)
+            owner = np.array([-1 if i is None else number[i] for i, _ in some], np.int32)[np.searchsorted(stream.ends, at, "right")]
+            h = stream.hashes(at, size)
+            order = np.lexsort((owner, h))
+            h, at, owner = h[order], at[order], owner[order]
+            # rows of one hash: a group for each distinct text
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            group, texts = np.zeros(len(h), np.int64), []
+            for a, b in zip(first, [*first[1:], len(h)]):
+                seen: dict[bytes, int] = {}
+                for k in range(a, b):
+                    t = stream.text(at[k], size)
+                    if t not in seen:
+                        seen[t] = len(texts)
+                        texts.append((h[a], at[k]))
+                    group[k] = seen[t]
+            order = np.lexsort((owner, group))
+            bounds = np.searchsorted(group[order], np.arange(len(texts) + 1))
+            places = np.array([p for _, p in texts], np.int64)
+            self.by_length[size] = (
+                np.array([x for x, _ in texts], np.uint64), stream.start[places].astype(np.int32), stream.stop[places + size - 1].astype(np.int32), bounds.astype(np.int32), owner[order], stream.data,
+            )
 
     def scan(self, docs: list[list[bytes]]) -> Iterator[tuple[np.ndarray, set[str]]]:
         """Of each document: hit marks per word, and the items found."""
-        known = self.ids.get
-        lengths = np.array([len(w) for w in docs], np.int64)
-        flat = np.fromiter((known(w, 0) for d in docs for w in d), np.uint64, int(lengths.sum()))
-        ends = np.cumsum(lengths)
-        marks = np.zeros(len(flat) + 1, np.int32)
-        found: dict[int, set[str]] = {}
-        for size, hashes in self.by_length.items():
-            if len(flat) < size:
-                continue
-            unknown = np.concatenate([[0], np.cumsum(flat == 0)])
-            at = np.flatnonzero(unknown[size:] == unknown[:-size])  # only windows of known words
-            if len(at) == 0:
-                continue
-            of = np.searchsorted(ends, at, "right")
-            at = at[at + size <= ends[of]]
-            h = self._hash(flat, at, size)
-            i = np.searchsorted(hashes, h)
-            at = at[hashes[np.minimum(i, len(hashes) - 1)] == h]
-            for p in at:
-                d = int(np.searchsorted(ends, p, "right"))
-                start = int(p - (ends[d] - lengths[d]))
-                items = self.items.get(tuple(docs[d][start : start + size]))
-                if items is not None:
-                    marks[p] += 1
-                    marks[p + size] -= 1
-                    found.setdefault(d, set()).update(items)
-        hit = np.cumsum(marks[:-1]) > 0
-        for d, e in enumerate(ends):
-            yield hit[e - lengths[d] : e], found.get(d, set())
+        widest = max(self.by_length, default=1)
+        marks = [np.zeros(len(d) + 1, np.int32) for d in docs]
+        found: dict[int, set[int]] = {}
+        pieces, size = [], 0
+        for d, w in enumerate(docs):
+            for a in range(0, len(w), PIECE):
+                pieces.append((d, a, w[a : a + PIECE + widest - 1]))
+                size += len(pieces[-1][2])
+                if size >= PIECE:
+                    self._scan(pieces, marks, found)
+                    pieces, size = [], 0
+        if pieces:
+            self._scan(pieces, marks, found)
+        for d, m in enumerate(marks):
+            yield np.cumsum(m[:-1]) > 0, {self.names[i] for i in found.get(d, ()) if i >= 0}
+
+    def _scan(self, pieces: list[tuple[int, int, list[bytes]]], marks: list[np.ndarray], found: dict[int, set[int]]) -> None:
+        stream = _Stream([w for *_, w in pieces])
+        for size, (hashes, start, stop, bounds, owner, data) in self.by_length.items():
+            at = stream.runs(size)
+            h = stream.hashes(at, size)
+            low = np.searchsorted(hashes, h)
+            hit = hashes[np.minimum(low, len(hashes) - 1)] == h
+            for p, k in zip(at[hit].tolist(), low[hit].tolist()):
+                ours = stream.text(p, size)
+                while k < len(hashes) and data[start[k] : stop[k]] != ours:  # texts of one hash stand side by side
+                    k = k + 1 if k + 1 < len(hashes) and hashes[k + 1] == hashes[k] else len(hashes)
+                if k < len(hashes):
+                    i = int(np.searchsorted(stream.ends, p, "right"))
+                    d, first, _ = pieces[i]
+                    place = first + p - int(stream.ends[i] - stream.lengths[i])
+                    marks[d][place] += 1
+                    marks[d][place + size] -= 1
+                    found.setdefault(d, set()).update(owner[bounds[k] : bounds[k + 1]].tolist())
 
 
 def _spans(hit: np.ndarray) -> list[dict]:
@@ -113,45 +184,74 @@ def _cut(text: str, spans: list[dict]) -> str:
     return b" ".join(k for k in kept if k).decode("utf-8", "surrogatepass")
 
 
-_HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_FOUND = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.string())}
+_FOUND_SQL = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def _pass(docs: DataFrame, windows, text: str) -> DataFrame:
-    """``docs`` with n_words, spans and items; adds to those that an earlier block has found."""
-    names = docs.columns
+def _pass(docs: DataFrame, windows, text: str, cut: bool = False) -> DataFrame:
+    """``docs`` with n_words, spans and items, which add to those of an earlier block; or, with
+    ``cut``, without them and without the spans' words. One function, so one Python worker a task."""
+    names = [c for c in docs.columns if c not in _FOUND]
+    earlier = len(names) < len(docs.columns)
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            column = b.column(names.index(text))
+            column = b.column(at)
             start = 0
             while start < len(column):
-                size, stop, part = 0, start, []
+                size, stop, texts, part = 0, start, [], []
                 while stop < len(column) and (size < CHUNK_BYTES or stop == start):
-                    t = column[stop].as_py()
-                    part.append(words(t))
-                    size += len(t or "")
+                    texts.append(column[stop].as_py())
+                    part.append(words(texts[-1]))
+                    size += len(texts[-1] or "")
                     stop += 1
                 rows = b.slice(start, stop - start)
+                old = [rows.column(len(names) + k).to_pylist() for k in (1, 2)] if earlier else None
                 n, spans, items = [], [], []
                 for i, (hit, found) in enumerate(w.scan(part)):
-                    if "spans" in names and (old := rows.column(names.index("spans"))[i].as_py()):
+                    if old:
                         hit = hit.copy()
-                        for s in old:
+                        for s in old[0][i]:
                             hit[s["start"] : s["end"]] = True
-                    if "items" in names:
-                        found = found | set(rows.column(names.index("items"))[i].as_py())
+                        found = found.union(old[1][i])
                     n.append(len(part[i]))
                     spans.append(_spans(hit))
                     items.append(sorted(found))
-                made = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, spans_type), "items": pa.array(items, pa.list_(pa.string()))}
-                kept = {c: rows.column(k) for k, c in enumerate(names) if c not in made}
-                yield pa.RecordBatch.from_arrays([*kept.values(), *made.values()], names=[*kept, *made])
+                kept = [rows.column(k) for k in range(len(names))]
+                if cut:
+                    if any(spans):
+                        kept[at] = pa.array([_cut(t, s) if s else t for t, s in zip(texts, spans)], kept[at].type)
+                    yield pa.RecordBatch.from_arrays(kept, names=names)
+                else:
+                    made = [pa.array(x, kind) for x, kind in zip((n, spans, items), _FOUND.values())]
+                    yield pa.RecordBatch.from_arrays([*kept, *made], names=[*names, *_FOUND])
                 start = stop
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("n_words", "spans", "items"))
-    return docs.mapInArrow(run, f"{kept}, {_HITS}")
+    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, *(_FOUND if earlier else ())).mapInArrow(run, kept if cut else f"{kept}, {_FOUND_SQL}")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, text: str, item_id: str, item_text: str, block_bytes: int, cut: bool) -> DataFrame:
+    """Numbered columns of ``docs`` after all blocks."""
+    spark = docs.sparkSession
+    at = f"c{docs.columns.index(text)}"
+    docs = numbered(docs)
+    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
+    n_words = F.size(F.split("t", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    total = bench.agg(F.sum(F.octet_length("t") + n_words.cast("long") * WORD_BYTES)).first()[0] or 0
+    blocks = max(1, -(-total * 4 // (block_bytes * 3)))  # dealt by a hash, some get more
+    scratch, last = Scratch(spark), None
+    for k in range(blocks):
+        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        rows = [(r["i"], r["t"]) for r in part.toLocalIterator()]  # a block, as summed above
+        docs = _pass(docs, spark.sparkContext.broadcast(Windows(rows, n)), at, cut and k == blocks - 1)
+        if k < blocks - 1:
+            docs = scratch.cut(docs)
+            scratch.drop(last)
+            last = docs
+    return docs
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -163,42 +263,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, t
     item without words has no windows, and an item with a null id marks words but
     isn't listed.  Items that repeat an id are one item.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "spans", "items")
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    total = bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // (block_bytes // 2)))
-    scratch = Scratch(spark) if blocks > 1 else None
-    for k in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        rows = [(r["i"], r["t"]) for r in part.toLocalIterator()]  # at most about block_bytes, as summed above
-        out = _pass(docs, spark.sparkContext.broadcast(Windows(rows, n)), text)
-        docs = scratch.cut(out) if k < blocks - 1 else out
-    return docs
+    return named(_scanned(docs, benchmark, n, text, item_id, item_text, block_bytes, False), docs.columns, *_FOUND)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", text: str = "text", **kw) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", n: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the benchmark's passages: ``spans`` cuts them out of the texts
     and keeps every document, ``documents`` drops the documents that have any.
-    Rows without hits stay byte for byte as they are. Columns stay as they are."""
-    names = docs.columns
-    own = {c: f"_own_{c}" for c in ("n_words", "spans", "items") if c in names}  # the caller's columns of our names
-    inner = [own.get(c, c) for c in names]
-    found = find_contamination(docs.withColumnsRenamed(own), benchmark, text=text, **kw)
-    if mode == "documents":
-        return found.where(F.size("spans") == 0).select(*[F.col(f"`{i}`").alias(c) for i, c in zip(inner, names)])
-    if mode != "spans":
+    Rows without hits stay byte for byte as they are. Columns stay as they are, whatever their names."""
+    if mode not in ("spans", "documents"):
         raise ValueError(f"mode must be spans or documents, not {mode!r}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, spans = b.column(names.index(text)), b.column(len(names))
-            if any(len(x) for x in spans):
-                t = pa.array([_cut(x.as_py(), y.as_py()) if len(y) else x.as_py() for x, y in zip(t, spans)], t.type)
-            yield pa.RecordBatch.from_arrays([t if c == text else b.column(k) for k, c in enumerate(names)], names=names)
-
-    kept = found.select(*[F.col(f"`{i}`") for i in inner], "spans")
-    return kept.mapInArrow(run, docs.schema)
+    found = _scanned(docs, benchmark, n, text, item_id, item_text, block_bytes, mode == "spans")
+    return named(found if mode == "spans" else found.where(F.size("spans") == 0), docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

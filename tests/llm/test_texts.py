@@ -50,7 +50,7 @@ def contaminated_by_force(text, items, n):
 ITEMS = [("b", "Cat SAT, on the mat; and looked at the moon above"), ("a", "mat and looked"), ("c", None), ("d", " "), (None, "five six"), ("a", "three four five six seven eight nine ten eleven twelve"), ("b", "mat and looked")]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 64])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
 def test_decontamination(spark, block_bytes):
     docs = odd(spark, TEXTS)
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
@@ -81,6 +81,52 @@ def test_window_scan(texts, items):
         assert set(hit.nonzero()[0]) == want and sorted(found) == names
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab ", max_size=30), max_size=5), st.lists(st.text("ab ", max_size=14), max_size=4))
+def test_window_scan_in_pieces_and_by_digests(texts, items):
+    old, (D.PIECE, D.LONGEST) = (D.PIECE, D.LONGEST), (3, 1)
+    try:
+        test_window_scan.hypothesis.inner_test(texts, items)
+    finally:
+        D.PIECE, D.LONGEST = old
+
+
+def test_windows_hold_little():
+    import pickle
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=200))) for i in range(500)]
+    n_words, n_bytes = 500 * 200, sum(len(t) for _, t in items)
+    held = len(pickle.dumps(D.Windows(items, 10)))
+    assert held < n_bytes + D.WORD_BYTES * n_words  # what the blocks are sized by
+
+
+CLASHING = "cdf double, whole int, copy_no int, _n int, _s string, _place long, _salt int, _gone long, _e string, _new string, _md5 string, _again int, _own_spans int, spans string, items int, n_words string, c0 int, n_entities string, known string, id string"
+
+
+def clashing(spark, texts):
+    """Documents whose other columns are named like those of the operators."""
+    more = [f.strip().split(" ") for f in CLASHING.split(",")]
+    row = [{"string": "own", "double": 0.5}.get(kind, 7) for _, kind in more]
+    return spark.createDataFrame([(i, t, "s", *row) for i, t in enumerate(texts)], f"doc_id long, text string, source string, {CLASHING}"), dict(zip([n for n, _ in more], row))
+
+
+@pytest.mark.parametrize("name", ["cut", "drop", "near", "mix", "private"])
+def test_columns_named_like_an_operators_own(spark, name):
+    from tessella.llm import minhash_dedup as M
+
+    docs, own = clashing(spark, ["The cat sat on the mat and looked at the moon above the house", "Mrs Anna Smith", "Mrs Anna Smith", None])
+    bench = spark.createDataFrame(ITEMS, "item_id string, text string")
+    out = {"cut": lambda: D.remove_contaminated(docs, bench), "drop": lambda: D.remove_contaminated(docs, bench, "documents"), "near": lambda: M.drop_near_duplicates(docs), "mix": lambda: X.mix(docs, total=40.0), "private": lambda: P.replace_private(docs)}[name]()
+    made = {"mix": {"copy_no"}, "private": {"n_entities"}}.get(name, set())
+    assert len(set(out.columns)) == len(out.columns) and set(out.columns) == set(docs.columns) | made
+    rows = out.collect()
+    assert rows and all(r[c] == v for r in rows for c, v in own.items() if c not in made)
+    assert {r["doc_id"] for r in rows} <= {0, 1, 2, 3} and (name != "near" or {r["doc_id"] for r in rows} == {0, 1, 3})
+
+
 # token counts
 
 
