@@ -82,7 +82,7 @@ class _Stream:
     def runs(self, size: int) -> np.ndarray:
         """First words of all runs of ``size`` words that lie in one text."""
         at = np.arange(max(0, len(self.start) - size + 1))
-        return at[at + size <= self.ends[np.searchsorted(self.ends, at, "right")]] if len(at) else at
+        return at[at + size <= np.repeat(self.ends, self.lengths)[: len(at)]]
 
     def hashes(self, at: np.ndarray, size: int) -> np.ndarray:
         a, b = self.start[at], self.stop[at + size - 1]
@@ -151,6 +151,10 @@ class Windows:
         for size, (hashes, start, stop, bounds, owner, data) in self.by_length.items():
             at = stream.runs(size)
             h = stream.hashes(at, size)
+            maybe = np.zeros(1 << 18, bool)  # the first bits of the windows' hashes
+            maybe[hashes >> np.uint64(46)] = True
+            some = maybe[h >> np.uint64(46)]
+            at, h = at[some], h[some]
             low = np.searchsorted(hashes, h)
             hit = hashes[np.minimum(low, len(hashes) - 1)] == h
             for p, k in zip(at[hit].tolist(), low[hit].tolist()):
