@@ -15,12 +15,14 @@ none with probability (1 - 0.85^5)^32, under 1e-8, and at 0.8 under 4e-6.
 
 No bucket is ever expanded into all its pairs:
 
-1. Equal shingle sets are one class; only its representative goes on.
+1. Texts with equal words, by a 128-bit digest of all of them, are one class; only its
+   representative goes on.
 2. In each bucket all members are compared with its smallest member only. The
    confirmed links give first components.
 3. In a bucket that then holds more than one component, the members outside its
    largest one are compared with all members of other components, in blocks of
-   bounded size that are dealt to tasks.
+   bounded size that are dealt to tasks. Blocks hold the sets as sorted hashes; what
+   they find is confirmed on the full sets like the links before.
 
 Nothing is sampled or capped, and only sketches, ids and the texts of candidates
 are shuffled.
@@ -35,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import Scratch, connected_components, table
+from tessella.llm._common import Scratch, connected_components, named, numbered, table
 
 SHINGLE = 5
 THRESHOLD = 80
 BANDS, ROWS = 32, 5
-#: Documents of a block in step 3.
-OUTSIDE, INSIDE = 128, 1024
+#: Documents of a block in step 3, and shingles about.
+OUTSIDE, INSIDE, BLOCK_SHINGLES = 128, 1024, 1 << 21
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -64,11 +66,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+def shingle_hashes(w: list[bytes], n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     from xxhash import xxh64_intdigest
 
-    w = split(text)
     if not w:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxh64_intdigest, w), np.uint64, len(w))
@@ -113,7 +114,7 @@ def _bands(bins: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(id, n, set hash, bands) of each row; rows without words have no bands."""
+    """(id, n, digest of the words, bands) of each row; rows without words have no digest and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_hexdigest
@@ -122,9 +123,10 @@ def _sketched(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         for b in batches:
             sizes, sets, keys = [], [], []
             for x in b.column(1):
-                h = shingle_hashes(x.as_py(), n)
+                w = split(x.as_py())
+                h = shingle_hashes(w, n)
                 sizes.append(len(h))
-                sets.append(xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
+                sets.append(xxh3_128_hexdigest(b" ".join(w)) if w else None)
                 keys.append(_bands(sketch(h), bands, rows) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "s", "bands"])
 
@@ -153,30 +155,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, threshold: int) -> Da
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _block_links(group, n: int, threshold: int):
-    """Links between the outside and the inside documents of one block pair: for each
-    outside document one link into each other component, which connects as all would."""
+def _hashed(texts: DataFrame, n: int) -> DataFrame:
+    """(id, h): the shingles' sorted hashes, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(split(t.as_py()), n).tobytes() for t in part.column(1)], pa.binary())], names=["id", "h"])
+
+    return texts.select("id", "t").mapInArrow(run, "id long, h binary")
+
+
+def _block_links(group, threshold: int):
+    """Candidates between the outside and the inside documents of one block pair: for each
+    outside document one into each other component, which connects as all would."""
     import pandas as pd
 
-    ids: dict[tuple, int] = {}
-    rows = [np.fromiter((ids.setdefault(s, len(ids)) for s in shingles(t, n)), np.int64) for t in group["t"]]
+    rows = [np.frombuffer(h, np.uint64) for h in group["h"]]
     size = np.array([len(r) for r in rows])
     inside = np.flatnonzero(group["inside"].to_numpy())
     outside = np.flatnonzero(group["outside"].to_numpy())
     comp, key = group["comp"].to_numpy(), group["id"].to_numpy()
     # postings of the inside documents by shingle
     who = np.repeat(np.arange(len(inside)), size[inside])
-    what = np.concatenate([rows[i] for i in inside]) if len(inside) else np.zeros(0, np.int64)
+    what = np.concatenate([rows[i] for i in inside]) if len(inside) else np.zeros(0, np.uint64)
     order = np.argsort(what, kind="stable")
-    who, starts = who[order], np.searchsorted(what[order], np.arange(len(ids) + 1))
+    what, who = what[order], who[order]
     out = []
     for o in outside:
-        lists = [who[starts[s] : starts[s + 1]] for s in rows[o]]
-        both = np.bincount(np.concatenate(lists), minlength=len(inside)) if lists else np.zeros(len(inside), int)
+        first, last = np.searchsorted(what, rows[o], "left"), np.searchsorted(what, rows[o], "right")
+        many = last - first
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(who[at], minlength=len(inside))
         ok = (both > 0) & (100 * both >= threshold * (size[o] + size[inside] - both)) & (comp[inside] != comp[o])
         hit = inside[ok]
-        _, first = np.unique(comp[hit], return_index=True)
-        out += [(key[o], key[i]) for i in hit[first]]
+        _, one = np.unique(comp[hit], return_index=True)
+        out += [(key[o], key[i]) for i in hit[one]]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -199,9 +214,11 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     reps = scratch.cut(sets.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"))
     of = sets.join(reps, "s", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "bands")
     classes = scratch.cut(of.withColumn("bands", F.when(F.col("id") == F.col("rep"), F.col("bands"))))
-    heads = classes.where("bands is not null").select("id", "n", F.posexplode("bands").alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("bucket")).distinct()
-    first = heads.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    heads = classes.where("bands is not null").select("id", "n", F.posexplode("bands").alias("band", "h")).select("id", "n", F.xxhash64("band", "h").alias("bucket"))
+    # a table of its own: AQE can split a hot bucket's members where they meet their one lead
+    first = scratch.cut(heads.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m"))
     members = scratch.cut(heads.join(first, "bucket").select("bucket", "id", "n", "lead"))
+    scratch.drop(first)
     fits = F.col("n") * 100 >= F.col("lead.n") * threshold
     fits &= F.col("lead.n") * 100 >= F.col("n") * threshold
     pairs = members.where((F.col("id") != F.col("lead.id")) & fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
@@ -209,18 +226,25 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     pairs = scratch.cut(pairs)
     texts = scratch.cut(source.join(members.select("id").distinct(), "id", "left_semi"))
     links = scratch.cut(_confirmed(pairs, texts, n, threshold))
+    scratch.drop(pairs)
 
     comps = scratch.cut(connected_components(links, scratch))
+    scratch.drop(links)
     labelled = members.select("bucket", "id", "n").join(comps, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
-    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("m", F.col("comp").alias("main"))).alias("top"), F.sum("m").alias("inside"), F.count("*").alias("k")).where("k > 1 and inside > 2")
-    mixed = mixed.select("bucket", F.col("top.main").alias("main"), F.ceil(F.col("inside") / INSIDE).alias("ki"), F.ceil((F.col("inside") - F.col("top.m")) / OUTSIDE).alias("ko"))
+    sizes = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    top = F.max(F.struct("m", "w", F.col("comp").alias("main"))).alias("top")
+    mixed = sizes.groupBy("bucket").agg(top, F.sum("m").alias("inside"), F.sum("w").alias("words"), F.count("*").alias("k")).where("k > 1 and inside > 2")
+    deal = lambda m, w, most: F.ceil(F.greatest(m / most, w / BLOCK_SHINGLES)).alias("k")
+    mixed = scratch.cut(mixed.select("bucket", F.col("top.main").alias("main"), deal(F.col("inside"), F.col("words"), INSIDE).alias("ki"), deal(F.col("inside") - F.col("top.m"), F.col("words") - F.col("top.w"), OUTSIDE).alias("ko")))
     rows_ = labelled.join(mixed, "bucket")
     inner = rows_.withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), "ki")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ko") - 1))).withColumn("role", F.lit(1))
     outer = rows_.where("comp != main").withColumn("o", F.pmod(F.xxhash64("id", F.lit(2)), "ko")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ki") - 1))).withColumn("role", F.lit(2))
-    blocks = inner.select("bucket", "i", "o", "id", "comp", "role").union(outer.select("bucket", "i", "o", "id", "comp", "role"))
-    dealt = blocks.join(texts, "id").select("bucket", "i", "o", "id", "comp", "t", (F.col("role") == 1).alias("inside"), (F.col("role") == 2).alias("outside"))
-    late = scratch.cut(dealt.groupBy("bucket", "i", "o").applyInPandas(lambda g: _block_links(g, n, threshold), "a long, b long"))
+    blocks = scratch.cut(inner.select("bucket", "i", "o", "id", "comp", "role").union(outer.select("bucket", "i", "o", "id", "comp", "role")))
+    scratch.drop(members)
+    hashed = scratch.cut(_hashed(texts.join(blocks.select("id").distinct(), "id", "left_semi"), n))
+    dealt = blocks.join(hashed, "id").select("bucket", "i", "o", "id", "comp", "h", (F.col("role") == 1).alias("inside"), (F.col("role") == 2).alias("outside"))
+    late = scratch.cut(dealt.groupBy("bucket", "i", "o").applyInPandas(lambda g: _block_links(g, threshold), "a long, b long").distinct())
+    late = scratch.cut(_confirmed(late, texts, n, threshold))
 
     # rows that share a key but not a text tie their classes together
     same = classes.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b != top").select("id", "b")
@@ -233,14 +257,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOL
     alone = alone.join(followed.groupBy("id").agg(F.min("component").alias("c")), "id", "left").select("id", "n", F.col("c").alias("component"))
     out = followed.union(alone)
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return scratch.finish(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the rows whose key is
-    their group's smallest (of repeated rows with that key, all)."""
-    kept = near_duplicates(docs, text=text, key=key, **kw).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return docs.join(kept, docs[key] == F.col("_gone"), "left_anti")
+    their group's smallest (of repeated rows with that key, all). Columns may have any name."""
+    gone = near_duplicates(docs, text=text, key=key, **kw).where("not kept").select(F.col(key).alias("gone")).distinct()
+    rest = numbered(docs).join(gone, F.col(f"c{docs.columns.index(key)}") == F.col("gone"), "left_anti")
+    return named(rest, docs.columns)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,8 +107,9 @@ def test_long_chain(spark):
     assert {r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()} == {0}
 
 
-@pytest.mark.parametrize("cell,block", [(10_000, 64), (20, 16)])
-def test_vectors(spark, cell, block):
+@pytest.mark.parametrize("cell,block", [(10_000, 64), (4, 16)])
+def test_vectors(spark, monkeypatch, cell, block):
+    monkeypatch.setattr(V, "SHIP", 0)  # small labels get pivots too
     rng = np.random.default_rng(5)
     rows = []
     for label in (0, 1, -3):
@@ -133,3 +134,44 @@ def test_vectors(spark, cell, block):
     want = sorted(((r[0], k, comp.get(r[0]), r[0] is None or comp[r[0]] == r[0]) for r, k in zip(rows, n)), key=str)
     got = sorted((tuple(r) for r in V.vector_links(df, cell=cell, block=block).collect()), key=str)
     assert got == want
+
+
+def test_pivots_grow_only_where_they_prune():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((64, 32)) * 3
+    grouped = V._unit(centres[rng.integers(0, 64, 3000)] + rng.standard_normal((3000, 32)) * 0.05)
+    loose = V._unit(rng.standard_normal((3000, 32)))
+    eps = math.sqrt(2 - 2 * 0.93)
+    counts = [len(V._pivots(grouped, n, eps, 256, 4096)) for n in (100_000, 10_000_000)]
+    assert counts[0] >= 32 and counts[1] >= counts[0]
+    assert V._pivots(loose, 2000, eps, 256, 4096) is None
+    p = V._pivots(grouped, 100_000, eps, 256, 4096)
+    near, inside = V._cells(grouped[:500], p, eps)
+    assert inside.sum(1).mean() < len(p) / 4  # a vector goes to few cells
+    for i, j in itertools.combinations(range(500), 2):  # and meets all its partners at home
+        assert grouped[i] @ grouped[j] < 0.93 or inside[j][near[i]] and inside[i][near[j]]
+
+
+def test_vectors_of_unlike_lengths_never_link(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [1.0, 0.1, 0.0], 0), (5, [1.0], 1), (6, [3.0], 1)]
+    got = V.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()} == {(1, 1, 1), (3, 1, 1), (2, 1, 2), (4, 1, 2), (5, 1, 5), (6, 1, 5)}
+
+
+@pytest.mark.parametrize("hub", [0, 10_000])
+def test_hubs_with_the_least_and_the_largest_id(spark, hub):
+    edges = [(hub, i) for i in range(1, 2000)] + [(20_000, 20_001)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == {i: min(hub, 1) for i in [hub, *range(1, 2000)]} | {20_000: 20_000, 20_001: 20_000}
+
+
+def test_what_is_left_in_the_scratch_folder(spark):
+    from pathlib import Path
+
+    from tessella.sources.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p for p in folder.glob("*/*")}
+    docs = spark.createDataFrame([(i, t, 5, "c", 7) for i, t in make_docs()], DOCS)
+    assert M.near_duplicates(docs).count() == docs.count()
+    assert len({p for p in folder.glob("*/*")} - before) == 1  # the result itself
