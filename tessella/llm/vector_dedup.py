@@ -12,7 +12,10 @@ its own home cell and cells join independently. No partner is lost.
 Cells of any size are cut into blocks, and a task joins one block of homes with
 one block of the cell's vectors in double precision; it returns link counts and a
 spanning forest of its links, never all pairs.  Equal vectors of a label are one
-class with a count.  Pivots are chosen by hash, at most ``max_pivots`` per label.
+class with a count.  Pivots are vectors chosen by hash.  How many a label gets grows
+with it, up to ``max_pivots``: of the powers of two the one that costs least by what
+a sample of its vectors shows, since pivots that prune little cost copies.  Labels
+and lengths of vectors never meet: both part the vectors before the pivots do.
 """
 
 from __future__ import annotations
@@ -28,49 +31,76 @@ from pyspark.sql import functions as F
 from tessella.llm._common import Scratch, connected_components, table
 
 COSINE = 0.93
-#: Vectors that a cell should hold about; pivots of one label at most; pivots in all at most.
-CELL, MAX_PIVOTS, ALL_PIVOTS = 2048, 64, 16_384
+#: Vectors that a cell should hold at least, about; pivots of one label at most; vectors that their number is tried on.
+CELL, MAX_PIVOTS, PROBES = 256, 4096, 256
+#: Components of all sampled vectors at most (128 MB of doubles on the driver and each worker).
+ALL_COMPONENTS = 16 << 20
+#: What shipping a copy of a vector costs, in products of two vectors.
+SHIP = 1000
 #: Vectors of a block.
 BLOCK = 2048
 
 
+def _unit(x) -> np.ndarray:
+    x = np.asarray(x, np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each unit vector, and all cells that it must go to."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+    near = d.argmin(1)
+    own = d[np.arange(len(x)), near][:, None]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[near]
+    inside = (d <= own + 2 * eps + 1e-9) & (d * d - own * own <= 2 * eps * apart + 1e-9)
+    inside[np.arange(len(x)), near] = True
+    return near, inside
+
+
+def _pivots(sample: np.ndarray, n: int, eps: float, cell: int, most: int) -> np.ndarray | None:
+    """The pivots of a label of ``n`` vectors, out of a sample of them; None if one cell costs least."""
+    probes = sample[: min(PROBES, len(sample) // 4)]
+    rest = sample[len(probes) :][: min(most, -(-n // cell))]
+    best, k = (n + SHIP, 1), 2
+    while len(probes) and k <= len(rest):
+        copies = _cells(probes, rest[:k], eps)[1].sum(1).mean()
+        best = min(best, (k + n * copies / k + SHIP * copies, k))
+        k *= 2
+    return rest[: best[1]] if best[1] > 1 else None
+
+
 def _assign(rows: DataFrame, pivots, eps: float) -> DataFrame:
     """The rows with their home cell and, for guests, each cell that they may have partners in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_label = pivots.value
-        for b in batches:
-            label = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.stack(b.column(3).to_numpy(zero_copy_only=False)).astype(np.float64) if b.num_rows else np.zeros((0, 1))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+        by_part = pivots.value
+        for b in (b.slice(i, 2048) for b in batches for i in range(0, b.num_rows, 2048)):
+            parts: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                parts.setdefault(key, []).append(i)
+            v = b.column(4).to_numpy(zero_copy_only=False)
             take, cell, home = [], [], []
-            for one in np.unique(label):
-                at = np.flatnonzero(label == one)
-                p = by_label.get(int(one))
-                if p is None:
+            for key, at in parts.items():
+                at = np.array(at)
+                if key not in by_part:
                     take.append(at), cell.append(np.zeros(len(at), int)), home.append(np.ones(len(at), bool))
                     continue
-                d = np.sqrt(np.maximum(0, 2 - 2 * x[at] @ p.T))
-                near = d.argmin(1)
-                own = d[np.arange(len(at)), near][:, None]
-                apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[near]
-                inside = (d <= own + 2 * eps + 1e-9) & (d * d - own * own <= 2 * eps * apart + 1e-9)
-                inside[np.arange(len(at)), near] = True
+                near, inside = _cells(_unit(np.stack(v[at])), by_part[key], eps)
                 i, j = np.nonzero(inside)
                 take.append(at[i]), cell.append(j), home.append(near[i] == j)
-            if take:
-                t = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([*(c.take(t) for c in b.columns), pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(home))], names=["label", "id", "m", "v", "cell", "home"])
+            take, cell, home = map(np.concatenate, (take, cell, home))
+            for i in range(0, len(take), 4096):
+                t = pa.array(take[i : i + 4096])
+                yield pa.RecordBatch.from_arrays([*(c.take(t) for c in b.columns), pa.array(cell[i : i + 4096].astype(np.int32)), pa.array(home[i : i + 4096])], names=["label", "d", "id", "m", "v", "cell", "home"])
 
-    return rows.mapInArrow(run, "label long, id long, m long, v array<double>, cell int, home boolean")
+    return rows.mapInArrow(run, "label long, d int, id long, m long, v array<double>, cell int, home boolean")
 
 
 def _join_block(g, cosine: float):
     """Link counts of the home vectors of a block pair, and links that connect as all of them would."""
     import pandas as pd
 
-    x = np.stack(g["v"].to_numpy()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(np.stack(g["v"].to_numpy()))
     ids, m = g["id"].to_numpy(), g["m"].to_numpy()
     homes, others = np.flatnonzero(g["role"].to_numpy() == 1), np.flatnonzero(g["role"].to_numpy() == 2)
     near = x[homes] @ x[others].T >= cosine
@@ -103,7 +133,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     nothing.  n_links counts the other rows linked directly, repeated rows too;
     component_id is the smallest key that links lead to.  Rows that share a key are
     one node. Rows with a null key have no links, no component_id, and are kept.
-    Vectors of one label have one length, or the query fails.
+    Vectors of unlike lengths are never linked, whatever their labels.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -112,24 +142,31 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = scratch.cut(rows.withColumn("ok", valid))
     classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("m"))
-    classes = scratch.cut(classes.select("label", "id", "m", "v"))
-
-    counts = classes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > cell)
-    wanted = counts.select("label", (F.least(F.ceil(F.col("n") / cell), F.lit(max_pivots)) / F.col("n")).alias("share"))
-    chosen = classes.join(wanted, "label").where(F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
-    by_label: dict[int, list] = {}
-    for r in chosen.select("label", "v").orderBy(F.xxhash64("v", F.lit(8))).limit(ALL_PIVOTS).toLocalIterator():  # pivots only; labels without any are one cell
-        by_label.setdefault(r["label"], []).append(r["v"])
-    unit = {k: (p := np.array(v, np.float64)) / np.linalg.norm(p, axis=1, keepdims=True) for k, v in by_label.items()}
-    placed = scratch.cut(_assign(classes, spark.sparkContext.broadcast(unit), math.sqrt(2 - 2 * cosine)))
-
-    sizes = placed.groupBy("label", "cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("a")).where("h > 0")
-    blocks = sizes.select("label", "cell", F.ceil(F.col("h") / block).alias("kh"), F.ceil(F.col("a") / block).alias("ka"))
-    dealt = placed.join(blocks, ["label", "cell"])
+    classes = scratch.cut(classes.select("label", F.size("v").alias("d"), "id", "m", "v"))
+
+    eps = math.sqrt(2 - 2 * cosine)
+    counts = classes.groupBy("label", "d").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    wanted = F.least(F.ceil(F.col("n") / cell), F.lit(max_pivots)) + PROBES
+    chosen = classes.join(counts, ["label", "d"]).where(F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 40)) < wanted / F.col("n") * (1 << 40))
+    longest = classes.agg(F.max("d")).first()[0] or 1
+    sampled: dict[tuple, list] = {}
+    size: dict[tuple, int] = {}
+    # at most ALL_COMPONENTS numbers; a label without any of them is one cell
+    for r in chosen.select("label", "d", "n", "v").orderBy(F.xxhash64("v", F.lit(8))).limit(max(1, ALL_COMPONENTS // longest)).toLocalIterator():
+        sampled.setdefault((r["label"], r["d"]), []).append(r["v"])
+        size[r["label"], r["d"]] = r["n"]
+    found = {k: _pivots(_unit(v), size[k], eps, cell, max_pivots) for k, v in sampled.items()}
+    shared = spark.sparkContext.broadcast({k: p for k, p in found.items() if p is not None})
+    placed = scratch.cut(_assign(classes, shared, eps))
+
+    part = ["label", "d", "cell"]
+    sizes = placed.groupBy(part).agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("a")).where("h > 0")
+    blocks = scratch.cut(sizes.select(*part, F.ceil(F.col("h") / block).alias("kh"), F.ceil(F.col("a") / block).alias("ka")))
+    dealt = placed.join(blocks, part)
     one = dealt.where("home").withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), "kh")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ka") - 1))).withColumn("role", F.lit(1))
     two = dealt.withColumn("j", F.pmod(F.xxhash64("id", F.lit(2)), "ka")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kh") - 1))).withColumn("role", F.lit(2))
-    names = ["label", "cell", "i", "j", "role", "id", "m", "v"]
-    joined = one.select(names).union(two.select(names)).groupBy("label", "cell", "i", "j").applyInPandas(lambda g: _join_block(g, cosine), "id long, links long, root long")
+    names = [*part, "i", "j", "role", "id", "m", "v"]
+    joined = one.select(names).union(two.select(names)).groupBy(*part, "i", "j").applyInPandas(lambda g: _join_block(g, cosine), "id long, links long, root long")
     links = scratch.cut(joined)
     scratch.drop(placed)
 
@@ -148,7 +185,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_id"
     alone = alone.join(followed.groupBy("id").agg(F.min("component").alias("component")), "id", "left")
     out = followed.union(alone)
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.col("links").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return scratch.finish(out.select(F.col("id").alias(key), F.col("links").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))
 
 
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
