@@ -5,7 +5,9 @@ rate ``total * w_s / (sum of w * n_s)``.  A document's count is the inverse of t
 Poisson distribution with that mean at a uniform number hashed from seed, id and
 text, so it needs no coordination, repeats on every machine, and stays when
 other documents come or go.  Each document is exploded by its count, and the
-copies are dealt and sorted by a hash: a global shuffle.
+copies are dealt and sorted by a hash: a global shuffle.  Documents of sources with a
+high rate are first dealt out by parts of their counts, so that no task makes all
+copies of one.
 
 Only DataFrame functions run here.  Documents are counted per source before
 anything is shuffled; the table of rates is broadcast only if its counted rows
@@ -19,11 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import table
+from tessella.llm._common import Scratch, named, numbered, table
 
 SEED = "mix-1"
 #: Rows of the rates' table that may be broadcast; and the salts of a source beyond.
 SMALL, SALTS = 10_000, 32
+#: Copies of a document that one task makes at most.
+PART = 1000
 #: Terms of the distributions that a row of a broadcast table may have, on average.
 TERMS = 450
 #: Largest mean for which the terms start at 0 copies; beyond, e^-mean is too small for a double.
@@ -60,6 +64,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     """(source, n_docs, rate, first, cdf) for each source, cdf from ``first`` copies on; ``weights`` None: all sources alike.
     Sources without a weight get rate 0. A null source is a source by the name ''."""
     counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).agg(F.count("*").alias("n_docs"))
+    counts = Scratch(docs.sparkSession).cut(counts)  # the documents are counted once
     if weights is None:
         counts = counts.withColumn("w", F.lit(1.0))
     else:
@@ -79,30 +84,38 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
     return out.withColumn("first", _first(F.col("rate"))).withColumn("cdf", _cumulated(F.col("rate")))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED, source: str = "source", key: str = "doc_id", text: str = "text", small: int = SMALL) -> DataFrame:
-    """The columns of ``docs`` and ``copy_no`` (from 0): each row as often as its count
-    says, globally shuffled.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED, source: str = "source", key: str = "doc_id", text: str = "text", small: int = SMALL, part: int = PART) -> DataFrame:
+    """The columns of ``docs`` and ``copy_no`` (from 0; a column of that name is replaced): each
+    row as often as its count says, globally shuffled. Other columns may have any name.
 
     A document's uniform number depends on seed, key and text: repeated rows get the
     same count each, null keys and texts count as ''.  Rows of a source without a
     weight go; an empty table stays empty.
     """
     r = rates(docs, weights, total, source)
-    named = docs.withColumn("_s", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    table_of = r.select(F.col("s").alias("_s"), "cdf", "first")
-    size = r.limit(small + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("rate") - F.col("first") + 12 * F.sqrt("rate") + 31), F.lit(0.0)).alias("terms")).first()
+    c_source, c_key, c_text = (F.col(f"c{docs.columns.index(c)}") for c in (source, key, text))
+    rows = numbered(docs).withColumn("s", F.coalesce(c_source.cast("string"), F.lit("")))
+    table_of = r.select("s", "rate", "cdf", "first")
+    size = r.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("rate") - F.col("first") + 12 * F.sqrt("rate") + 31), F.lit(0.0)).alias("terms"), F.coalesce(F.max("rate"), F.lit(0.0)).alias("top")).first()
     if size["n"] <= small and size["terms"] <= small * TERMS:
-        joined = named.join(F.broadcast(table_of), "_s")
+        joined = rows.join(F.broadcast(table_of), "s")
     else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-        joined = named.withColumn("_salt", F.pmod(F.hash(F.col(key), F.col(text)), F.lit(SALTS))).join(table_of.select("*", salt), ["_s", "_salt"])
-    one = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    u = _uniform(F.lit(seed), one, F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        joined = rows.withColumn("salt", F.pmod(F.hash(c_key, c_text), F.lit(SALTS))).join(table_of.select("*", salt), ["s", "salt"])
+    one = F.coalesce(c_key.cast("string"), F.lit(""))
+    u = _uniform(F.lit(seed), one, F.md5(F.coalesce(c_text.cast("string"), F.lit("")).cast("binary")))
     n = F.col("first").cast("int") + F.size(F.filter("cdf", lambda c: c <= u))
-    copies = joined.withColumn("_n", n).where("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    place = F.xxhash64(F.lit(seed), one, F.col(text), F.col("copy_no"))
-    dealt = copies.withColumn("_place", place).repartition(F.col("_place")).sortWithinPartitions("_place")
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("copy_no"))
+    counted = joined.withColumn("n", n).where("n > 0").drop("cdf", "first")
+    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    if size["top"] > part / 2:  # else no document's count comes near it
+        copies = counted.where(F.col("rate") <= part / 2).withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        parts = counted.where(F.col("rate") > part / 2).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / part).cast("int"))))
+        parts = parts.repartition(F.xxhash64(one, "part"))
+        of_part = F.explode(F.sequence(F.col("part") * part, F.least(F.col("n"), (F.col("part") + 1) * part) - 1))
+        copies = copies.unionByName(parts.withColumn("copy_no", of_part).drop("part"))
+    place = F.xxhash64(F.lit(seed), one, c_text, "copy_no")
+    dealt = copies.withColumn("place", place).repartition(F.col("place")).sortWithinPartitions("place")
+    return named(dealt, docs.columns, "copy_no")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

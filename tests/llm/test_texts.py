@@ -361,6 +361,14 @@ def test_mixing_moves_to_the_weights(spark):
     assert abs(n["a"] - 1250) < 150 and abs(n["b"] - 3750) < 250
 
 
+def test_mixing_in_parts_gives_the_same_rows(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "a" if i else "b") for i in range(30)], "doc_id long, text string, source string")
+    rows = lambda part: sorted(map(tuple, X.mix(docs, {"a": 1.0, "b": 20.0}, total=3000, part=part).collect()))
+    whole = rows(1 << 30)
+    assert rows(40) == whole and sum(r[0] == 0 for r in whole) > 2500
+    assert {r[3] for r in whole if r[0] == 0} == set(range(sum(r[0] == 0 for r in whole)))
+
+
 def test_mixing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert X.mix(none).count() == 0
