@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import re
 from collections import Counter
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate as D
 from tessella.llm import html_text as H
@@ -17,6 +19,7 @@ from tessella.llm import mixing as X
 from tessella.llm import secret_scan as S
 from tessella.llm import surrogates as P
 from tessella.llm import token_counts as T
+from tessella.llm._common import Scratch
 
 ODD = "doc_id long, text string, source string, score int, items string, spans int, n_entities int, secrets int, copy_no2 int"
 
@@ -293,12 +296,96 @@ def test_surrogates(spark, small):
     assert m[1] in P._GIVEN["latin", "m"].split() and m[3] in P._GIVEN["latin", "f"].split() and re.fullmatch("[а-яА-Я]+", m[7]) and got[6]["n_entities"] == 5
 
 
-def test_collisions_are_redrawn(spark, monkeypatch):
-    """With few surrogates many entities meet; still all stay different."""
-    rows = [(i, f"{a}.{b}.1.1") for i, (a, b) in enumerate((a, b) for a in range(1, 6) for b in range(1, 9))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = [r["text"] for r in P.replace_private(docs).collect()]
-    assert len(set(out)) == len(rows) and not set(out) & {t for _, t in rows}
+def test_crowded_formats_still_get_surrogates(spark):
+    """Formats that are full: all IPv4 numbers of one-digit octets, all mailboxes of one letter, all numbers of three digits."""
+    ips = [".".join(x) for x in itertools.product("123456789", repeat=4)]
+    mails = [f"{c}@full.example.com" for c in "abcdefghijklmnopqrstuvwxyzäé"]
+    docs = spark.createDataFrame(list(enumerate(ips + mails)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in P.replace_private(docs).collect()}
+    assert len(set(out.values())) == len(ips + mails) and not set(out.values()) & {*ips, *mails}
+    assert len({out[i].split("@")[1] for i in range(len(ips), len(out))}) == 1
+    parts = spark.createDataFrame([(f"p:{i:03}", f"{i:03}", "") for i in range(1000)], "known string, e string, g string")
+    again = {r["known"]: r["attempt"] for r in P.redrawn(parts, Scratch(spark)).collect()}
+    assert len(again) == 1000 and all(k >= P.SAME_LENGTH for k in again.values())
+    drawn = parts.join(spark.createDataFrame(list(again.items()), "known string, attempt int"), "known")
+    assert len({r["s"] for r in drawn.select(P.part_surrogate(F.col("known"), F.col("e"), F.col("g"), F.col("attempt")).alias("s")).collect()}) == 1000
+
+
+def test_hosts_stay_different(spark):
+    hosts = [f"{a}{b}.com" for a in "abcdefg" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = [r["text"] for r in P.replace_private(spark.createDataFrame([(i, f"x@{h}") for i, h in enumerate(hosts)], "doc_id long, text string")).collect()]
+    assert len({t.split("@")[1] for t in out}) == len(hosts) and not {t.split("@")[1] for t in out} & set(hosts)
+
+
+def test_names_in_all_their_mentions(spark):
+    text = "Mrs Anna Smith met Dr. Anna Smith; later Anna Smith and Mrs Smith, MRS ANNA SMITH and ANNA SMITH left. Mr John Ronald Tolkien, Mr J. Smith, Herr von Berg, Joanna Smithson"
+    got = P.replace_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    m = re.fullmatch(r"Mrs (\w+) (\w+) met Dr\. (\w+) (\w+); later (\w+) (\w+) and Mrs (\w+), MRS (\w+) (\w+) and (\w+) (\w+) left\. Mr (\w+) (\w+) (\w+), Mr (\w)\. (\w+), Herr von (\w+), Joanna Smithson", got["text"])
+    assert got["n_entities"] == 9 and {m[1], m[3], m[5], m[8].title(), m[10].title()} == {m[1]} and {m[2], m[4], m[6], m[7], m[9].title(), m[11].title(), m[16]} == {m[2]}
+    assert m[8].isupper() and m[1] in P._GIVEN["latin", "f"].split() and m[12] in P._GIVEN["latin", "m"].split() and m[15] != "J"
+    assert not {"Anna", "Smith", "John", "Ronald", "Tolkien", "Berg"} & set(re.findall(r"\w+", got["text"]))
+
+
+NUMBERS = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "+4930123456", "+15550123456", "tel: 5550123457", "020 7946 0958", "01 23 45 67 89", "030 1234567", "(555) 123-4567", "555-7713", "+1 (555) 123-4568"]
+NO_NUMBERS = ["on 01-12-2024 or 2024-01-12, 01.02.2024 and 05/06/2023 at 10:20:30", "id 5550123456, 12.5 and 1,234,567 of 20 000 000", "page 10 11 12 13", "ISBN 978-3-16-148410-0"]
+
+
+def test_numbers_in_all_their_groupings(spark):
+    texts = [*(f"reach {n} or {n}." for n in NUMBERS), *NO_NUMBERS]
+    got = {r["doc_id"]: r for r in P.replace_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, number in enumerate(NUMBERS):
+        shape = re.escape(re.sub(r"\d", "0", number)).replace("0", r"\d")
+        m = re.fullmatch(rf"reach ({shape}) or ({shape})\.", got[i]["text"])
+        assert got[i]["n_entities"] == 2 and m and m[1] == m[2] and re.sub(r"\D", "", m[1]) != re.sub(r"\D", "", number)
+    for i, text in enumerate(texts[len(NUMBERS) :], len(NUMBERS)):
+        assert got[i]["n_entities"] == 0 and got[i]["text"] == text
+
+
+def test_surrogates_by_force(spark):
+    """Every entity of a whole table, found by another regular expression engine: each part has one surrogate, no two share one, none is real."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    new = {r["doc_id"]: r for r in P.replace_private(docs).collect()}
+    finder, title = regex.compile(P.ENTITY), regex.compile(f"^{P._TITLE} ")
+    pairs: dict[str, dict[str, set[str]]] = {}
+    seen = 0
+
+    def put(kind, old, drawn):
+        pairs.setdefault(kind, {}).setdefault(old.lower(), set()).add(drawn.lower())
+
+    for r in docs.collect():
+        old, out = r["text"] or "", new[r["doc_id"]]["text"] or ""
+        found = [m.span() for m in finder.finditer(old)]
+        seen += len(found)
+        assert len(found) <= new[r["doc_id"]]["n_entities"]  # names without a form of address are more
+        if not found:
+            assert old == out
+            continue
+        ours, theirs = regex.findall(r"\S+|\s+", old), regex.findall(r"\S+|\s+", out)
+        assert len(ours) == len(theirs)  # surrogates keep their spaces
+        starts = np.cumsum([0, *map(len, ours)])
+        for a, b in found:
+            i, j = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b, "left"))
+            before, after = a - starts[i], starts[j] - b
+            drawn = "".join(theirs[i:j])
+            drawn = drawn[before : len(drawn) - after]
+            e = old[a:b]
+            if "@" in e:
+                put("host", e.split("@")[1], drawn.split("@")[1])
+                put("email", e, drawn)
+            elif title.match(e):
+                x, y = title.sub("", e).split(" "), title.sub("", drawn).split(" ")
+                put("surname", x[-1], y[-1])
+                for u, v in zip(x[:-1], y[:-1]):
+                    put("given", u, v)
+            else:
+                put("ip" if regex.fullmatch(P.IP, e) else "number", *(regex.sub(r"[^\d.+]" if "." in x else r"[^\d+]", "", x) for x in (e, drawn)))
+    assert seen > 50 and set(pairs) >= {"host", "email", "number", "ip"}
+    for kind, by in pairs.items():
+        assert all(len(v) == 1 for v in by.values()), kind
+        drawn = [next(iter(v)) for v in by.values()]
+        assert len(set(drawn)) == len(drawn) and not set(drawn) & set(by), kind
 
 
 def test_surrogates_of_nothing(spark):
