@@ -1,8 +1,9 @@
 """Secret scanning with a random forest that removes false positives.
 
 Candidates are long tokens that aren't made of dictionary words alone, values assigned to names such
-as password or token, and private key blocks.  A random forest, trained from
-labelled findings, decides which of them are secrets, by their length, character
+as password or token, and private key blocks (a block without its end goes as far as its
+lines of base64).  A random forest, trained from labelled findings, decides which of them
+are secrets, by their length, character
 classes and transitions, the likelihood of their letter pairs, the share of them
 that dictionary words cover, whether they stand in a path, the document's source
 and the words before and after.
@@ -35,9 +36,13 @@ _LONG = re.compile(r"[A-Za-z0-9+/_\-=.~]{16,}")
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret(?:[_-]?key)?|(?:access|auth|api|client|private|bearer|refresh|session)?[_-]?token|(?:api|access|secret|private|auth|encryption)[_-]?key|client[_-]?secret|credentials?|connection[_-]?string|authorization|bearer"
 _ASSIGNED = re.compile(rf"(?<![A-Za-z])(?:[A-Za-z0-9]+[_-])*(?:{_NAMES})[\"']?(?:\s*(?::=|=>|=|:)\s*|\s+)[\"'`]?(?:bearer\s+|basic\s+)?([^\s\"'`,;<>(){{}}|]{{6,}})", re.I)
 _ASSIGNS = re.compile(rf"(?<![A-Za-z])(?:[A-Za-z0-9]+[_-])*(?:{_NAMES})[\"']?\W{{0,12}}\s*(?::=|=>|=|:)\W{{0,12}}$", re.I)
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+_BETWEEN, _HEADER = r"[\s\"'\\,>|#*]", r"(?:Proc-Type|DEK-Info|Version|Comment)\s?:[^\n\\]{0,200}"
+#: What may follow: headers and base64 up to the end line, or, without one, as far as lines of base64 go.
+_CLOSED = re.compile(rf"(?:{_BETWEEN}*+(?:{_HEADER}|[A-Za-z0-9+/=]++))*+{_BETWEEN}*+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+_OPEN = re.compile(rf"(?:{_BETWEEN}*+(?:{_HEADER}|[A-Za-z0-9+/=]{{32,}}+))*+")
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"connection", b"authorization", b"bearer")
-_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|AIza|ya29\.|SG\.|eyJ|npm_|dop_v1_|hf_)", re.I)
+_PREFIX = re.compile(r"(?:-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|AIza|ya29\.|SG\.|eyJ|npm_|dop_v1_|hf_)", re.I)
 _SECRET_WORD = re.compile(rf"(?<![a-z])(?:{_NAMES}|login|creds?|authenticate|aws|oauth|jwt)(?![a-z])", re.I)
 _SAFE_WORD = re.compile(r"(?<![a-z])(?:commit|revision|rev|sha|sha1|sha256|sha512|md5|hash|checksum|digest|integrity|etag|uuid|guid|id|order|invoice|isbn|doi|tracking|serial|build|version|card|phone|example|sample|dummy|fake|placeholder|test|fixture|color|base64|image|data|file|trace|request)(?![a-z])", re.I)
 _DUMMY = re.compile(r"x{4,}|\*{3,}|\.{3,}|your|example|placeholder|change.?me|dummy|sample|redacted|todo|insert|<|\$\{|%\(|abcdef|123456|(.)\1{5,}", re.I)
@@ -60,7 +65,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     data = text.encode("utf-8", "surrogatepass")
     found: list[tuple[int, int, str]] = []
     if b"-----BEGIN" in data:
-        found += [(m.start(), m.end(), "key") for m in _PEM.finditer(text)]
+        found += [(m.start(), (_CLOSED.match(text, m.end()) or _OPEN.match(text, m.end())).end(), "key") for m in _PEM.finditer(text)]
     low = data.lower()
     if any(h in low for h in _HINTS):
         found += [(*m.span(1), "assigned") for m in _ASSIGNED.finditer(text)]
@@ -140,23 +145,30 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np
     names = "token password secret api_key apikey access_token auth_token client_secret passwd pwd secret_key private_key API_KEY AWS_SECRET_ACCESS_KEY GITHUB_TOKEN DB_PASSWORD Authorization".split()
     assign = lambda name, v: pick(['{n} = "{v}"', "{n}='{v}'", "{n}={v}", '"{n}": "{v}"', "{n}: {v}", "{n} := `{v}`", "export {n}={v}", "{n} {v}"]).format(n=name, v=v)
 
+    def block(lines: int) -> str:
+        kind, width = pick(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]), int(pick([4, 16, 64, 64, 64, 76]))
+        body = "".join(chars(b64 + "+/", width) + pick(["\n", "\n", "\\n"]) for _ in range(lines))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}".rstrip() + pick(["", f"\n-----END {kind}PRIVATE KEY-----"])
+
     def secret() -> tuple[str, str]:
-        k = int(rng.integers(9))
+        k = int(rng.integers(10))
         v = [
             lambda: chars(hexa, int(pick([32, 40, 40, 40, 64]))), lambda: chars(b64, int(rng.integers(20, 60))), lambda: "AKIA" + chars(up + dig, 16), lambda: "ghp_" + chars(b64, 36), lambda: "sk_live_" + chars(b64, 24),
-            lambda: f"xoxb-{chars(dig, 12)}-{chars(b64, 24)}", lambda: f"eyJ{chars(b64, 20)}.eyJ{chars(b64, 40)}.{chars(b64 + '_-', 43)}", lambda: chars(b64 + "+/", 40) + pick(["", "=", "=="]), lambda: chars(b64 + "!@#$%^&*", int(rng.integers(10, 24))),
+            lambda: f"xoxb-{chars(dig, 12)}-{chars(b64, 24)}", lambda: f"eyJ{chars(b64, 20)}.eyJ{chars(b64, 40)}.{chars(b64 + '_-', 43)}", lambda: chars(b64 + "+/", 40) + pick(["", "=", "=="]), lambda: chars(b64 + "!@#$%^&*", int(rng.integers(10, 24))), lambda: block(int(rng.integers(1, 30))),
         ][k]()
+        if k == 9:
+            return v, pick(["{v}", "key {v}", "cat key.pem {v}"]).format(v=v)
         if k in (2, 3, 4, 5, 6) and rng.random() < 0.35:
             return v, pick(["{v}", "({v})", "use {v}", "key {v}"]).format(v=v)
         return v, assign(pick(names), v)
 
     def harmless() -> tuple[str, str]:
-        k = int(rng.integers(16))
+        k = int(rng.integers(17))
         v = [
             lambda: chars(hexa, 40), lambda: chars(hexa, pick([32, 64, 128])), lambda: f"{chars(hexa, 8)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 12)}", lambda: chars(dig, int(rng.integers(16, 24))),
             lambda: f"{word()}{word()}_{word()}-{int(rng.integers(1, 3000))}", lambda: f"{word()}/{word()}/{word()}-{int(rng.integers(1, 3000))}.html", lambda: pick(["your-token-here", "xxxxxxxxxxxxxxxxxxxx", "changeme123", "example_password", "<token>", "${SECRET_TOKEN}", "REPLACE_WITH_YOUR_KEY_1", "abcdef1234567890abcdef", "********"]), lambda: chars(b64 + "+/", int(rng.integers(60, 200))),
             lambda: f"v{int(rng.integers(9))}.{int(rng.integers(99))}.{int(rng.integers(99))}-{word()}-{chars(dig, 8)}", lambda: f"{chars(dig, 4)}-{chars(dig, 2)}-{chars(dig, 2)}T{chars(dig, 2)}-{chars(dig, 2)}-{chars(dig, 2)}", lambda: word() + word() + word() + word() + pick(dig), lambda: pick(["a", "the", "is", "of"]) + word() + word(),
-            lambda: f"{word()}.{word()}.{word()}{int(rng.integers(99))}.example.com", lambda: "get" + word().title() + word().title() + "By" + word().title() + pick(dig), lambda: chars(dig, 4) + "-" + chars(dig, 4) + "-" + chars(dig, 4) + "-" + chars(dig, 4), lambda: word() + "=" * int(rng.integers(10, 30)) + pick(dig),
+            lambda: f"{word()}.{word()}.{word()}{int(rng.integers(99))}.example.com", lambda: "get" + word().title() + word().title() + "By" + word().title() + pick(dig), lambda: chars(dig, 4) + "-" + chars(dig, 4) + "-" + chars(dig, 4) + "-" + chars(dig, 4), lambda: word() + "=" * int(rng.integers(10, 30)) + pick(dig), lambda: block(0).rsplit("\n-----END", 1)[0],
         ][k]()
         near = {0: ["commit {v}", "sha1 {v}", "revision {v}", "Merge {v}", "{v}"], 1: ["sha256:{v}", "md5 {v}", "checksum: {v}", "integrity {v}", "digest {v}"], 2: ["uuid {v}", "request id {v}", "/items/{v}/view", "trace {v}"], 3: ["{v}", "order {v}", "card {v}", "id={v}"], 6: ["#"], 7: ["data:image/png;base64,{v}", "src {v}", "image {v}"], 11: ["password {v}", "secret {v}", "token {v}", "key {v}"]}
         shape = pick(near.get(k, ["{v}", '"{v}"', "({v})", "see {v}", "https://www.{v}", "file {v}", "| {v} |"]))
@@ -166,7 +178,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> tuple[np.ndarray, np
     while len(y) < n:
         label = int(rng.random() < 0.5)
         v, shown = secret() if label else harmless()
-        if rng.random() < 0.12:
+        if rng.random() < 0.12 and " " not in v:
             v, shown = (v.upper(), shown.upper()) if rng.random() < 0.6 else (v, shown.replace(" ", pick([" | ", "$$$ ", "### "])))
         line = f"{text(int(rng.integers(0, 7)))} {shown}{pick(['', '', '!!', '###', '.', ','])} {text(int(rng.integers(0, 7)))}"
         at = line.find(v)
@@ -251,11 +263,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", source: str = "source", th
             texts = b.column(at).to_pylist()
             paths = b.column(names.index(source)).to_pylist() if source in names else [""] * len(texts)
             found = [candidates(t) if t else [] for t in texts]
-            x = [features(t, s, e, str(p or "")) for t, p, c in zip(texts, paths, found) for s, e, kind in c if kind != "key"]
+            x = [features(t, s, e, str(p or "")) for t, p, c in zip(texts, paths, found) for s, e, _ in c]
             scores = iter(model(x))
             n, spans = [], []
             for i, c in enumerate(found):
-                scored = [{"start": s, "end": e, "score": 1.0 if kind == "key" else float(next(scores))} for s, e, kind in c]
+                scored = [{"start": s, "end": e, "score": float(next(scores))} for s, e, _ in c]
                 kept = [s for s in scored if s["score"] >= threshold]
                 n.append(len(c))
                 spans.append(kept)
