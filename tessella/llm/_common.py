@@ -19,6 +19,8 @@ from tessella.sources.storage import shared_dir
 
 #: Folders with tables that a result still reads; they go when the program ends.
 _left: dict[str, SparkSession] = {}
+#: Rows of a part of the tables that components are worked out on, as long as these are small.
+_ROWS = 16_384
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -102,14 +104,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state == seen or state["n"] == 0:
             break
         seen = state
+        # a small table in few files; a large one as the shuffles deal it
+        few = state["n"] // _ROWS + 1
+        cut = lambda df: scratch.cut(df.coalesce(few) if few < 64 else df)
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         # as a table of its own, else its partitioning would keep AQE from splitting a hub's edges
-        low = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.cut(both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         # in a star each node has one smaller neighbour: what has more still needs the small step
-        least = scratch.cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi != lo").distinct()
-        new = scratch.cut(small)
+        new = cut(small)
         for done in (cur, low, large, least):
             scratch.drop(done)
         cur = new
