@@ -43,7 +43,7 @@ SHINGLE = 5
 THRESHOLD = 80
 BANDS, ROWS = 32, 5
 #: Documents of a block in step 3, and shingles about.
-OUTSIDE, INSIDE, BLOCK_SHINGLES = 128, 1024, 1 << 21
+OUTSIDE, INSIDE, BLOCK_SHINGLES = 128, 256, 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
