@@ -4,16 +4,18 @@ The standard library's parser streams events; block-level tags cut the page into
 lines.  A line's ratio is its characters over its tags.  The ratios are smoothed
 with a Gaussian, and lines over a threshold cluster into content regions (Weninger,
 Hsu, Han 2010).  The article is all article and main elements where these hold most
-of the regions' text, and otherwise the lowest container (never a paragraph, heading,
-list or cell) that holds all of the regions and titles: its lines are kept, the short
-ones too, without what stands in elements that are no article text by their tag,
-role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
+of the regions' text.  Otherwise it grows from the largest region: from the lowest
+container (never a paragraph, heading, list or cell) that holds nearly all of it to the
+one around that, as long as that adds text of regions alone, or at least half as such and
+a quarter of what there is.  Its lines are kept, the short ones too, without what stands in elements that are no article text by their
+tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,8 +29,10 @@ from tessella.llm._common import table
 SIGMA = 1.0
 #: Share of the mean smoothed ratio that a content line must reach.
 LEVEL = 0.5
-#: Share of the regions' text that article and main elements must hold to be the article.
-MOST = 0.5
+#: Share of the regions' text that article and main elements must hold to be the article; share of
+#: the largest region, which smoothing may widen, in the container that it grows from; share of its
+#: regions' text that a container with other text too must add to be part of it.
+MOST, CORE, SHARE = 0.5, 0.8, 0.25
 CHUNK = 1 << 16
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,6 +77,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, element, no article text, within an article
+        self.count: Counter[str] = Counter()  # of open tags
         self.parent, self.main, self.tag = [-1], [False], [""]
         self.marks: dict[int, frozenset[str]] = {}  # elements that may be no article text, and why
         self.lines: list[tuple[str, int, bool, int]] = []
@@ -92,6 +97,10 @@ class _Lines(HTMLParser):
             self._cut()
         elif any(x[2] for x in self.open[at:]) and not (at and self.open[at - 1][2]) or any(x[1] in self.marks for x in self.open[at:]) and self.open[-1][1] != (self.open[at - 1][1] if at else 0):
             self._cut()
+        self._close(at)
+
+    def _close(self, at: int) -> None:
+        self.count.subtract(x[0] for x in self.open[at:])
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -108,10 +117,10 @@ class _Lines(HTMLParser):
             self._cut()
             if tag in _MAIN or tag == "body":  # the article never stands in a menu that was left open
                 while self.open and self.open[-1][2] and self.open[-1][0] not in _MAIN and tag != "article" or self.open and self.open[-1][0] in ("p", "head", "nav"):
-                    self.open.pop()
+                    self._close(len(self.open) - 1)
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == "p" or self.open[i][0] in _ENDS.get(tag, ()):
-                    del self.open[i:]
+                    self._close(i)
                 elif self.open[i][0] in _WALLS:
                     break
         a = {k: v or "" for k, v in attrs}
@@ -135,6 +144,7 @@ class _Lines(HTMLParser):
             if marks:
                 self.marks[element] = marks
         self.open.append((tag, element, bad, within or tag in _MAIN))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -143,7 +153,7 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.count[tag] else ():  # an end tag without a start is no reason to search
             if self.open[i][0] == tag:
                 self._pop(i)
                 return
@@ -165,6 +175,37 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), k)[reach : reach + len(ratios)]
 
 
+def regions(size: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Lines whose smoothed text-to-tag ratio reaches the threshold: runs of them are the content regions."""
+    near = smooth(size / np.maximum(1, tags))
+    return near >= LEVEL * near.mean()
+
+
+def _grown(p: _Lines, size: np.ndarray, good: np.ndarray, content: np.ndarray) -> int:
+    """The container that the largest region grows to."""
+    of = np.array([e for *_, e in p.lines])
+    known, extra = np.zeros(len(p.parent)), np.zeros(len(p.parent))
+    np.add.at(known, of, np.where(content, size, 0))
+    np.add.at(extra, of, np.where(good & ~content, size, 0))
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], content.astype(int), [0]]))).reshape(-1, 2)
+    a, b = max(edge.tolist(), key=lambda r: (size[r[0] : r[1]][content[r[0] : r[1]]].sum(), -r[0]))
+    core = np.zeros(len(p.parent))
+    np.add.at(core, of[a:b], size[a:b])
+    whole = core.sum()
+    for total in (known, extra, core):
+        for e in range(len(total) - 1, 0, -1):
+            total[p.parent[e]] += total[e]
+    at = max(e for e in range(len(core)) if core[e] >= CORE * whole and (e == 0 or p.tag[e] in _CONTAINERS))
+    up = p.parent[at]
+    while up >= 0:
+        if up == 0 or p.tag[up] in _CONTAINERS:
+            gain, rest = known[up] - known[at], extra[up] - extra[at]
+            if not rest or gain >= max(rest, SHARE * known[at]):
+                at = up
+        up = p.parent[up]
+    return at
+
+
 def _marked(p: _Lines, size: np.ndarray, good: np.ndarray) -> np.ndarray:
     """Elements in one that its name marks as no article text; names of what holds the article don't count."""
     out = np.zeros(len(p.parent), bool)
@@ -209,8 +250,7 @@ def main_text(html: str | None) -> str:
     marked = _marked(p, size, good)
     unmarked = good & ~marked[[e for *_, e in p.lines]]
     good = unmarked if unmarked.any() else good  # a name alone never empties a page
-    near = smooth(size / np.maximum(1, [n for _, n, _, _ in p.lines]))
-    content = good & (near >= LEVEL * near.mean())
+    content = good & regions(size, np.array([n for _, n, _, _ in p.lines]))
     if not content.any():
         content = good
     content |= good & np.array([p.tag[e] == "h1" for *_, e in p.lines])
@@ -224,7 +264,7 @@ def main_text(html: str | None) -> str:
     for e in range(1, len(total)):
         inside[e] = p.main[e] and total[e] > 0 or inside[p.parent[e]]
     if own[inside].sum() <= MOST * total[0]:
-        article = max(e for e in range(len(total)) if total[e] == total[0] and (e == 0 or p.tag[e] in _CONTAINERS))
+        article = _grown(p, size, good, content)
         inside[:] = False
         for e in range(len(total)):
             inside[e] = e == article or e > 0 and inside[p.parent[e]]

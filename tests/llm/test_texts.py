@@ -290,6 +290,65 @@ def test_article_round_trip(blocks):
     assert H.main_text(page) == "\n".join(" ".join(b.split()) for b in blocks)
 
 
+def regions_by_force(size, tags):
+    """Text-to-tag ratios, each line's Gaussian-weighted mean over all lines within three deviations, and the threshold."""
+    ratio = [s / max(1, t) for s, t in zip(size, tags)]
+    near = []
+    for i in range(len(ratio)):
+        w = [math.exp(-((i - j) ** 2) / (2 * H.SIGMA**2)) if abs(i - j) <= 3 * H.SIGMA else 0.0 for j in range(len(ratio))]
+        near.append(sum(a * b for a, b in zip(w, ratio)) / sum(w))
+    return [x >= H.LEVEL * sum(near) / len(near) for x in near]
+
+
+def page_table(sf):
+    import pyarrow.parquet as pq
+
+    return pq.read_table(f"/root/testdata/{sf}/pages.parquet").column("html").to_pylist()
+
+
+def test_regions_by_force():
+    for page in page_table("sf0.001"):
+        p = H._Lines()
+        p.feed(page)
+        p.close()
+        p._cut()
+        size, tags = [len(t) for t, *_ in p.lines], [n for _, n, *_ in p.lines]
+        assert H.regions(np.array(size, float), np.array(tags)).tolist() == regions_by_force(size, tags)
+
+
+def without_names(page):
+    """A page whose elements say nothing of what they hold."""
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|header|footer|aside|main|form|section)\b[^>]*>", r"<\1div>", page))
+
+
+def test_regions_find_the_article_where_no_name_does(monkeypatch):
+    pages = page_table("sf0.01")
+    want = [Counter(H.main_text(p).split("\n")) for p in pages]
+
+    def shares():
+        got = [Counter(H.main_text(without_names(p)).split("\n")) for p in pages]
+        size = lambda c: sum(len(t) * k for t, k in c.items())
+        both = sum(size(a & b) for a, b in zip(got, want))
+        return both / sum(map(size, got)), both / sum(map(size, want))
+
+    precision, recall = shares()
+    assert precision > 0.99 and recall > 0.999
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(H, "smooth", lambda r, sigma=1: rng.random(len(r)))
+    assert shares()[0] < precision - 0.01
+    monkeypatch.setattr(H, "smooth", lambda r, sigma=1: np.ones(len(r)))
+    assert shares()[0] < precision - 0.04
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div>" * 60_000 + "</span>" * 60_000 + "text", "<p>" * 60_000 + "x", "<b>" * 60_000 + "</i>" * 60_000 + "x", "<div><span>" * 30_000 + "</p>" * 30_000):
+        H.main_text(page)
+    assert time.perf_counter() - start < 30
+
+
 # surrogates
 
 
