@@ -102,7 +102,7 @@ def _batches(n_pos: int, n_all: int, steps: int, size: int, seed: int) -> Iterat
 
 
 def estimate_prior(scores_pos: np.ndarray, scores_all: np.ndarray, delta: float = 0.1) -> float:
-    """Upper confidence bound of the share of positives, at the score where it is least."""
+    """The share of positives by the ratio of both tails, at the score where that ratio's upper confidence bound is least."""
     cuts = np.quantile(scores_pos, np.linspace(0, 0.9, 91))
     q_pos = (scores_pos[None] >= cuts[:, None]).mean(1)
     q_all = (scores_all[None] >= cuts[:, None]).mean(1)
