@@ -10,20 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, minhash_dedup, mixing, secret_scan, toxicity
-from tessella.llm._common import Scratch, table
+from tessella.llm._common import Scratch, named, numbered, table
 
 
-def _recounted(docs: DataFrame, names: list[str]) -> DataFrame:
-    """``n_chars`` of the texts as they are now."""
-    counted = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
-    return counted.select(*[F.col(f"`{c}`") for c in names])
+def _recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now; that of a null text stays."""
+    if "n_chars" not in docs.columns:
+        return docs
+    n = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return docs.select(*[n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _at(docs: DataFrame, column: str) -> str:
+    """The column's name among numbered ones."""
+    return f"c{docs.columns.index(column)}" if column in docs.columns else column
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under 0.5, trained on the labelled documents of ``sf_dir``."""
     model = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model, keep_text=True)
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity.score_toxicity(numbered(docs), model, text=_at(docs, "text"), keep_text=True)
+    return named(scored.where("predicted = 0"), docs.columns)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +40,13 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that they share with benchmark items."""
-    return _recounted(decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), mode="spans"), docs.columns)
+    return _recounted(decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), mode="spans"))
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked."""
-    return _recounted(secret_scan.scan_secrets(docs), docs.columns)
+    found = secret_scan.scan_secrets(numbered(docs), text=_at(docs, "text"), source=_at(docs, "source"))
+    return _recounted(named(found, docs.columns))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
