@@ -206,3 +206,26 @@ def test_pipeline_stage_after_stage(spark):
         want.update((i, r["text"], x) for x in range(k))
     assert five.columns == [*docs.columns, "copy_no"] and Counter((r["doc_id"], r["text"], r["copy_no"]) for r in five.collect()) == want
     assert Counter((r["doc_id"], r["text"], r["copy_no"]) for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """Null ids and texts, empty and very long texts, repeated rows, columns named like those of the operators, empty tables."""
+    sf = "/root/testdata/sf0.001"
+    texts = [None, "", " ", "x" * 100_000, "fine words here", "fine words here", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é']
+    rows = [(i, t, "s", 3, 0.5, "p", "own", 9, 1.5) for i, t in enumerate(texts)] + [(None, None, None, None, None, None, None, None, None), (0, None, "s", 3, 0.5, "p", "own", 9, 1.5)]
+    schema = "doc_id long, text string, source string, n_chars int, score double, predicted string, secrets string, items int, cdf double"
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        got = out.collect()
+        assert out.columns == docs.columns + ["copy_no"] * (name == "mix")
+        assert {tuple(r[c] for c in ("score", "predicted", "secrets", "items", "cdf")) for r in got} == {(0.5, "p", "own", 9, 1.5), (None,) * 5}
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name not in ("near_dedup", "mix"):
+            assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+            by = {r["doc_id"]: r for r in got}
+            assert by[1]["text"] == "" and by[3]["text"] == texts[3] and by[0]["text"] is None and by[0]["n_chars"] == 3
+        if name == "near_dedup":
+            assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows if r[0] != 5)
+        if name == "secrets":
+            assert by[6]["text"] == 'token = "[SECRET]" é' and by[6]["n_chars"] == len(by[6]["text"])
