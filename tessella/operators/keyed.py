@@ -9,7 +9,7 @@ from tessella.functions.bytes import as_bytes, count_overlapping, holds, offsets
 from tessella.operators import regex
 from tessella.plans import regex as syntax
 
-#: Offsets of one block of the offset lookup.
+#: Offsets of one block of the offset lookup, a power of two.
 SPAN = 1 << 16
 
 
@@ -107,22 +107,22 @@ def key_of_offset(kv: DataFrame, at: DataFrame) -> DataFrame:
     newline included, hold the offset; past the end the shard's last one. Null for a
     negative offset and for a shard that isn't there.
 
-    Starts of records and offsets are sorted together in blocks of ``SPAN`` offsets,
-    and each offset takes the last start before it; an offset asked for many times
-    is looked up once.
+    Starts of records and offsets are sorted together in blocks of ``SPAN`` offsets, and
+    each offset takes the last start before it. An offset asked for many times is one row
+    with a count until its key is known.
     """
-    size = F.octet_length("value").cast("long")
-    block = lambda c: F.floor(c / SPAN)
-    ends = kv.groupBy("shard_id").agg(F.max(F.col("value_offset") + size).alias("end"))
-    # the last byte asked for, so that what lies past the end needs no search
-    asked = at.join(ends, "shard_id", "left").select("shard_id", "off", F.when(F.col("off").isNotNull() & F.col("end").isNotNull(), F.least("off", "end")).alias("pos"))
-    asks = asked.where("pos >= 0").select("shard_id", "pos").distinct()
-    asks = asks.select("shard_id", block(F.col("pos")).alias("block"), "pos", F.lit(None).cast("long").alias("key"), F.lit(1).alias("ask"))
-    covered = F.explode(F.sequence(block(F.col("value_offset")), block(F.col("value_offset") + size)))
-    starts = kv.select("shard_id", covered.alias("block"), "value_offset", "key").select("shard_id", "block", F.greatest("value_offset", F.col("block") * SPAN).alias("pos"), "key", F.lit(0).alias("ask"))
-    order = Window.partitionBy("shard_id", "block").orderBy("pos", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = starts.union(asks).withColumn("key", F.last("key", ignorenulls=True).over(order)).where("ask = 1").select("shard_id", "pos", "key")
-    return asked.join(found, ["shard_id", "pos"], "left").select("shard_id", "off", "key")
+    block = lambda c: F.shiftright(c, SPAN.bit_length() - 1)
+    asked = at.where("off >= 0").groupBy("shard_id", "off").agg(F.count("*").alias("n"))
+    asks = asked.select("shard_id", block(F.col("off")).alias("block"), F.col("off").alias("pos"), F.lit(None).cast("long").alias("key"), "n")
+    covered = F.explode(F.sequence(block(F.col("value_offset")), block(F.col("value_offset") + F.octet_length("value").cast("long"))))
+    starts = kv.select("shard_id", covered.alias("block"), "value_offset", "key").select("shard_id", "block", F.greatest("value_offset", F.col("block") * SPAN).alias("pos"), "key", F.lit(None).cast("long").alias("n"))
+    order = Window.partitionBy("shard_id", "block").orderBy("pos", F.col("n").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = starts.union(asks).withColumn("key", F.last("key", ignorenulls=True).over(order)).where("n is not null")
+    # blocks past the last record hold no start
+    found = found.join(kv.groupBy("shard_id").agg(F.max("key").alias("last")), "shard_id", "left").select("shard_id", F.col("pos").alias("off"), F.coalesce("key", "last").alias("key"), "n")
+    each = found.select("shard_id", "off", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPAN).cast("long"))).alias("from"), "n")
+    each = each.select("shard_id", "off", "key", F.explode(F.sequence(F.col("from"), F.least(F.col("n"), F.col("from") + SPAN) - 1)))
+    return each.select("shard_id", "off", "key").union(at.where("off < 0 or off is null").select("shard_id", "off", F.lit(None).cast("long").alias("key")))
 
 
 def position_of_key(kv: DataFrame, keys: DataFrame) -> DataFrame:

@@ -584,6 +584,13 @@ def storage_load(spark, sf):
     return storage.load(spark, path, "records").select("shard_id", "key", F.col("value").cast("string").alias("value"), "value_offset")
 
 
+@query(f"WITH {_KV} SELECT key, value, value_offset FROM kv WHERE shard_id = 1")
+def storage_load_shard(spark, sf):
+    """One shard of saved records: only its folder is read."""
+    path = _saved(spark, records=_kv(spark, sf))
+    return storage.load(spark, path, "records").where("shard_id = 1").select("key", F.col("value").cast("string").alias("value"), "value_offset")
+
+
 @query("SELECT doc_id, text, strlen(text)::BIGINT AS n_bytes FROM documents")
 def storage_load_in_memory(spark, sf):
     """Texts saved and read back cached."""
