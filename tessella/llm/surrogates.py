@@ -325,9 +325,9 @@ def redrawn(parts: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
     """
     real = parts.select(F.col("known").alias("s"))
     held: list[DataFrame] = []  # (known, attempt, s) of the parts that have found theirs, by round
-    open_ = parts
+    open_ = parts.withColumn("attempt", F.lit(0))
     for attempt in range(ATTEMPTS):
-        new = scratch.cut(open_.select("known", "e", "g", part_surrogate(F.col("known"), F.col("e"), F.col("g"), F.lit(attempt), key).alias("s")))
+        new = scratch.cut(open_.select("known", "e", "g", "attempt", part_surrogate(F.col("known"), F.col("e"), F.col("g"), F.col("attempt"), key).alias("s")))
         first = new.groupBy("s").agg(F.min("known").alias("known"))
         taken = real
         for h in held:
@@ -336,7 +336,8 @@ def redrawn(parts: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
         taken = taken.join(new.select("s").distinct(), "s", "left_semi").distinct()
         won = scratch.cut(first.join(scratch.cut(taken), "s", "left_anti").select("known", F.lit(attempt).alias("attempt"), "s"))
         held.append(won)
-        lost = scratch.cut(new.join(won.select("known"), "known", "left_anti").select("known", "e", "g"))
+        # as a column the attempt leaves each round's generated code the same
+        lost = scratch.cut(new.join(won.select("known"), "known", "left_anti").select("known", "e", "g", (F.col("attempt") + 1).alias("attempt")))
         scratch.drop(new)
         if attempt:
             scratch.drop(open_)
