@@ -265,3 +265,20 @@ def test_partial_sums_without_a_table(s):
 def test_zipf_keys_of_a_huge_range(spark):
     keys = [r["key"] for r in workload.zipf_keys(spark, 10**12, 500).collect()]
     assert all(0 <= k < 10**12 for k in keys) and max(keys) > 10**9 and min(keys) < 10
+
+
+def test_pairs_over_gaps_of_one_shard_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "CHUNK", 16, raising=False)
+    monkeypatch.setattr(keyed, "SPAN", 1 << 6)
+    text = b"\n".join(b"ab"[i % 7 % 2 : i % 7 % 2 + 1] * (i % 3) + b"c" * (i % 11 == 3) for i in range(300))
+    kv = corpus.lines(spark.createDataFrame([(1, bytearray(text)), (2, bytearray(b"b\na\nb\nb")), (3, bytearray(b"a"))], "doc_id long, content binary"))
+    texts = spark.createDataFrame([(1, bytearray(text)), (2, bytearray(b"b\na\nb\nb")), (3, bytearray(b"a"))], "doc_id long, content binary")
+    for p in ("a.*b", "[ab]+.*c.*a"):
+        found = keyed.regex_search(kv, p)
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+        expected = {tuple(r) for r in regex.search(texts, p).collect()}
+        assert {tuple(r)[:3] for r in got} == expected and len(got) == len(expected)
+        assert len({r["task"] for r in got if r["shard_id"] == 1}) > 3
+        keys = {(s, (text if s == 1 else b"b\na\nb\nb")[:o].count(b"\n")) for s, o, _ in expected}
+        got = [tuple(r) for r in keyed.regex_keys(kv, p).collect()]
+        assert set(got) == keys and len(got) == len(keys)
