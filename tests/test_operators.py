@@ -282,3 +282,22 @@ def test_pairs_over_gaps_of_one_shard_are_made_in_many_tasks(spark, monkeypatch)
         keys = {(s, (text if s == 1 else b"b\na\nb\nb")[:o].count(b"\n")) for s, o, _ in expected}
         got = [tuple(r) for r in keyed.regex_keys(kv, p).collect()]
         assert set(got) == keys and len(got) == len(keys)
+
+
+@pytest.mark.parametrize("p", ["b\n", "b\n\n|cd\n", "[^a]d", "(\n){1,3}", "b[\nc]{1,2}", "(\n)+", "b([\nac])+", "b\n.*(\n)+c", "(\n){9,12}"])
+def test_newlines_in_expressions_do_not_put_shards_together(spark, p):
+    lines = {1: b"ab\ncd\n\nab\ncd", 2: b"", 3: b"b\n\n\nb", 4: b"\n" * 11}
+    texts = spark.createDataFrame([(k, bytearray(v)) for k, v in lines.items()], "doc_id long, content binary")
+    # values that hold newlines themselves
+    odd = spark.createDataFrame([(9, 0, bytearray(b"ab\nc")), (9, 1, bytearray(b"\ncd\n")), (9, 2, bytearray(b"d"))], "s long, k long, v binary")
+    kv = corpus.lines(texts).union(corpus.records(odd, "k", "v", F.col("s")))
+    texts = texts.union(spark.createDataFrame([(9, bytearray(b"ab\nc\n\ncd\n\nd"))], "doc_id long, content binary"))
+    found = keyed.regex_search(kv, p)
+    expected = {tuple(r) for r in regex.search(texts, p).collect()}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(key" not in plan
+    assert {(r["sub_id"], r["n"]) for r in keyed.regex_count(kv, p).collect()} == {(i, regex.search(texts, s).count()) for i, s in enumerate(p.split(".*"))}
+    at = keyed.key_of_offset(kv, spark.createDataFrame([(s, o) for s, o, _ in expected], "shard_id long, off long"))
+    assert {tuple(r) for r in keyed.regex_keys(kv, p).collect()} == {(r["shard_id"], r["key"]) for r in at.collect()}
