@@ -14,6 +14,8 @@ from tessella.functions.bytes import view
 
 #: The virtual byte after a text's end: it counts in sizes and is read past the end, but is never stored.
 SENTINEL = b"\x01"
+#: Keys of one block of running offsets, a power of two.
+KEYS = 1 << 16
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +42,18 @@ def lines(shards: DataFrame, shard: str = "doc_id") -> DataFrame:
 
 
 def records(df: DataFrame, key: str, value: str | Column, shard: Column | None = None) -> DataFrame:
-    """Keyed lines from a table: offsets as if each shard's values stood in key order, a newline after each."""
+    """Keyed lines from a table: offsets as if each shard's values stood in key order, a newline after each.
+
+    Sizes are summed in blocks of ``KEYS`` keys. A block starts with the sum of those before it,
+    so that no task sorts a shard; only the blocks' sums meet by shard."""
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select((shard if shard is not None else F.lit(0)).cast("long").alias("shard_id"), F.col(key).cast("long").alias("key"), F.coalesce(value.cast("binary"), F.lit(b"")).alias("value"))
-    start = F.coalesce(F.sum(F.octet_length("value").cast("long") + 1).over(Window.partitionBy("shard_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return rows.select("shard_id", "key", start.alias("value_offset"), "value", F.lit(True).alias("is_valid"))
+    rows = rows.select("*", (F.octet_length("value").cast("long") + 1).alias("size"), F.shiftright("key", KEYS.bit_length() - 1).alias("block"), F.lit(True).alias("is_valid"))
+    before = Window.partitionBy("shard_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("shard_id", "block").agg(F.sum("size").alias("size"))
+    marks = sums.select("shard_id", F.lit(None).cast("long"), F.lit(None).cast("binary"), F.sum("size").over(before), "block", F.lit(False))
+    start = F.sum("size").over(Window.partitionBy("shard_id", "block").orderBy("is_valid", "key").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.union(marks).select("shard_id", "key", F.coalesce(start, F.lit(0).cast("long")).alias("value_offset"), "value", "is_valid").where("is_valid")
 
 
 def parse_attributes(line: Column, separator: str = ",") -> Column:

@@ -301,3 +301,23 @@ def test_newlines_in_expressions_do_not_put_shards_together(spark, p):
     assert {(r["sub_id"], r["n"]) for r in keyed.regex_count(kv, p).collect()} == {(i, regex.search(texts, s).count()) for i, s in enumerate(p.split(".*"))}
     at = keyed.key_of_offset(kv, spark.createDataFrame([(s, o) for s, o, _ in expected], "shard_id long, off long"))
     assert {tuple(r) for r in keyed.regex_keys(kv, p).collect()} == {(r["shard_id"], r["key"]) for r in at.collect()}
+
+
+def test_running_offsets_of_one_shard_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "KEYS", 1 << 6, raising=False)
+    keys = [None, -(2**63), -70, -1, *range(0, 900, 3), 10**12, 2**63 - 1]
+    rows = [(s, k, b"v" * ((k or 0) % 5)) for s in (1, None) for k in keys]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kv = corpus.records(spark.createDataFrame([(s, k, bytearray(v)) for s, k, v in rows], "s long, k long, v binary"), "k", "v", F.col("s"))
+        got = kv.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at, expected = 0, set()
+    for _, k, v in rows[: len(keys)]:
+        expected.add((k, at, v))
+        at += len(v) + 1
+    for s in (1, None):
+        mine = [r for r in got if r["shard_id"] == s]
+        assert {(r["key"], r["value_offset"], bytes(r["value"])) for r in mine} == expected and len(mine) == len(keys)
+        assert len({r["task"] for r in mine}) > 2 and all(r["is_valid"] for r in mine)
